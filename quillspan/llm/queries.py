@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, pairs, split
+from quillspan.llm import bpe, near, pairs, split
 from quillspan.sources.tables import table
 
 
@@ -29,6 +29,11 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n_ab", "n_a", "n_b", "n", "lift", "conviction")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = near.NearDuplicates(table(spark, d, "chunks"), k=3, threshold=0.7).pairs()
+    return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
     "p8_ids": p8_ids,
 }
 
