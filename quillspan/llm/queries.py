@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, near, pairs, split
+from quillspan.llm import bpe, mixing, near, pairs, split
 from quillspan.sources.tables import table
 
 
@@ -38,6 +38,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.SourceMix:
+    sizes = bpe.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]).select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size"))
+    return mixing.SourceMix(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shuffled().select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copy", "position")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -45,6 +58,8 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 _PAIRS = r"""
