@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, mixing, near, pairs, split
+from quillspan.llm import bpe, handwritten, mixing, near, pairs, split
 from quillspan.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify_files(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_files(spark, d).filter("not hand_written").select("file_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -57,6 +65,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
+    "p7_files": p7_files,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
