@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, handwritten, mixing, near, pairs, split
+from quillspan.llm import bpe, functions, handwritten, mixing, near, pairs, split
 from quillspan.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.distinct_pieces(split.split_oversized(table(spark, d, "chunks")))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return functions.documented_functions(table(spark, d, "chunks"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).select("chunk_id", "func_name")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pairs(spark, d).select("path_a", "path_b")
 
@@ -62,6 +70,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_pairs": p3_pairs,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
