@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, functions, handwritten, mixing, near, pairs, split
+from quillspan.llm import bpe, credentials, functions, handwritten, mixing, near, pairs, split
+from quillspan.session import materialize
 from quillspan.sources.tables import table
 
 
@@ -42,6 +43,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def _credentials(spark: SparkSession, d: str) -> DataFrame:
+    chunks, docs = table(spark, d, "chunks"), table(spark, d, "external_docs")
+    return credentials.find_credentials([
+        credentials.find_candidates(chunks, "chunks", "id", "content", "symbol_path"),
+        credentials.find_candidates(docs, "external_docs", "id", "content", "source_url"),
+    ])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _credentials(spark, d).select("src", "row_id", "line_no").distinct()
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    found = materialize(_credentials(spark, d), "credentials")
+    chunks = credentials.redact(table(spark, d, "chunks"), found, "chunks", "id", "content")
+    return chunks.unionByName(credentials.redact(table(spark, d, "external_docs"), found, "external_docs", "id", "content"))
+
+
 def p7_files(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.classify_files(table(spark, d, "files"), table(spark, d, "chunks"))
 
@@ -75,6 +94,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_masked": p6_masked,
     "p7_files": p7_files,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
