@@ -29,7 +29,7 @@ CONVENTIONAL = {
 }
 
 #: What tools and copyists write into the first comment of a file.
-_GENERATED = r"code generated by|@generated\b|auto-?generated file|<auto-generated|automatically (?:produced|generated|written) by|automatisch erzeugt|generado autom|automatiquement|generated automatically|generated by .{0,60}do not (?:edit|modify)"
+_GENERATED = r"code generated by|@generated\b|auto-?generated file|<auto-generated|automatically (?:produced|generated|written) by|automatisch erzeugt|generado autom|automatiquement|generated automatically|do not (?:modify|edit|change) by hand|generated by .{0,60}do not (?:edit|modify)"
 _VENDORED = r"vendored copy of|upstream: .{0,80}(?:local changes|tag )|bundled with its own licen[cs]e|taken verbatim from|copied (?:verbatim )?from .{0,60}(?:release|version|project)"
 _COMMENT = r"\s*(?://|#|/\*|\*|--|;|<!--|%)[^\n]{0,40}?(?:"
 _HEAD = r"(?is)\A(?:[^\n]*\n){0,2}?" + _COMMENT
