@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.paths import plain_hash, plain_path, repository
-from quillspan.llm import bpe, credentials, functions, handwritten, mixing, near, pairs, split
+from quillspan.llm import bpe, credentials, functions, handwritten, mixing, near, pairs, split, subjects
 from quillspan.session import materialize
 from quillspan.sources.tables import table
 
@@ -86,6 +86,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares()
 
 
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = subjects.fit_rules(docs, table(spark, d, "doc_subject_labels"), table(spark, d, "subject_areas"))
+    return subjects.classify(docs, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shares(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(materialize(p10_shares(spark, d), "subjects"), table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -101,6 +115,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+    "p10_composition": p10_composition,
 }
 
 _PAIRS = r"""
