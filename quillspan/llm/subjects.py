@@ -93,6 +93,13 @@ def terms(sentence: str) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that the Python objects made of one stay few."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _plain(c: str):  # noqa: ANN202
     return F.regexp_replace(F.lower(F.trim(F.col(c))), r"[\s\-]+", "_")
 
@@ -167,7 +174,7 @@ def _select(rows: DataFrame, prior: dict[str, float]) -> set[str]:
     counts = rows.select("id", "subject", F.explode("items").alias("item")).distinct().groupBy("item", "subject").agg(F.count(F.lit(1)).alias("c"))
     best = counts.groupBy("item").agg(F.sum("c").alias("t"), F.collect_list(F.struct("subject", "c")).alias("s")).filter(f"t >= {LEAST_COUNT}")
     lift = {}
-    for r in best.toLocalIterator():
+    for r in best.collect():
         lift[r["item"]] = max((x["c"] + 0.5) / (r["t"] + 2) / (prior[x["subject"]] / n) for x in r["s"])
     words = {t for t, v in lift.items() if v >= LEAST_LIFT and " " not in t}
     return words | {t for t, v in lift.items() if " " in t and v >= LEAST_LIFT and v > 1.3 * max(lift.get(w, 0.0) for w in t.split(" "))}
@@ -180,19 +187,14 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     chosen = _select(rows, prior) if prior else set()
     if not chosen:
         return []
-    keep = F.array(*map(F.lit, sorted(chosen))) if len(chosen) < 200 else None
-    if keep is None:
-        spark = rows.sparkSession
-        sel = spark.sparkContext.broadcast(chosen)
-
-        @F.udf("array<string>")
-        def among(items: list[str]) -> list[str]:
-            return [x for x in items if x in sel.value]
-
-        items = among("items")
-    else:
-        items = F.array_intersect("items", keep)
-    baskets = rows.select(F.concat(items, F.array(F.concat(F.lit(CLASS), "subject"))).alias("items")).filter("size(items) > 1")
+    sel = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 1000):
+            items = [[*(x for x in i if x in sel.value), CLASS + s] for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in items if len(x) > 1], pa.list_(pa.string()))], ["items"])
+
+    baskets = rows.select("items", "subject").mapInArrow(keep, "items array<string>")
     baskets = materialize(baskets, "rule-baskets")
     size = baskets.count()
     if not size:
@@ -201,7 +203,7 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.2).fit(baskets)
     mined = model.associationRules.filter(F.col("consequent")[0].startswith(CLASS) & (F.size("antecedent") <= 3))
     out = []
-    for r in mined.select("antecedent", "consequent", "confidence", (F.col("support") * size / F.col("confidence")).alias("n")).toLocalIterator():
+    for r in mined.select("antecedent", "consequent", "confidence", (F.col("support") * size / F.col("confidence")).alias("n")).collect():
         left, subject = r["antecedent"], r["consequent"][0][1:]
         if any(x.startswith(CLASS) for x in left):
             continue
@@ -229,7 +231,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     texts = docs.join(F.broadcast(ids), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 100):
             own, no, items = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for j, s in enumerate(sentences(t)):
@@ -247,7 +249,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = RuleModel.loads(dumped)
-            for b in batches:
+            for b in _slices(batches, 1000):
                 got = [m.subject(x) or "-" for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.string())], ["id", "no", "items", "subject"])
 
@@ -262,7 +264,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     rules = [r for r in prune(_mine(again.filter(~held).select("id", "items", "subject"))) if r[1] != "-"]
     model = RuleModel(rules, 0.5)
     truth: dict[int, set[str]] = defaultdict(set)
-    for r in lab.filter(held).toLocalIterator():
+    for r in lab.filter(held).collect():
         truth[r["id"]].add(r["subject"])
     tries = [x / 20 for x in range(6, 19)]
     score = {x: [0, 0, 0] for x in tries}
@@ -292,7 +294,7 @@ def classify(documents: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = RuleModel.loads(dumped)
-        for b in batches:
+        for b in _slices(batches, 500):
             out = [(i, s, v) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, v in m.document(t)]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["doc_id", "subject", "share"])
