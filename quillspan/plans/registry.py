@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillspan.plans import incremental
+import importlib
 
-_MODULES = [incremental]
+_MODULES = [
+    importlib.import_module(f"quillspan.plans.{m}")
+    for m in ("incremental", "lookups", "aggregates", "scalars", "history", "graph", "retrieval", "context", "writes", "parsing", "streams", "evaluation")
+]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p2_found"
+FLAGSHIP = "ret25_hybrid_search"
