@@ -186,8 +186,8 @@ def keyword_tokens(q: Column) -> Column:
     stop = F.array(*map(F.lit, STOP_WORDS))
     words = F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, F.lower(w)))
     parts = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.transform(split_identifier(w), F.lower), lambda p: (F.length(p) >= 2) & ~F.array_contains(stop, p)))))
-    first = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: F.array_position(F.transform(parts, F.lower), F.lower(s["p"])) == s["i"] + 1)
-    return F.transform(first, lambda s: s["p"])
+    first = lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, F.lower), F.lower(p)) == i + 1)
+    return F.transform(F.array(parts), first)[0]
 
 
 def is_test_file(path: Column) -> Column:
@@ -292,9 +292,10 @@ def last_parts(path: Column, n: int) -> Column:
 
 def word_shingles(content: Column, n: int = 3) -> Column:
     """Distinct hashes of the runs of n words; of the whole text if it has fewer."""
-    w = F.filter(F.split(content, r"\s+"), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(content)))
+    words = F.filter(F.split(content, r"\s+"), lambda x: x != "")
+    # inside the outer lambda the words are a bound value: as an expression they'd be made anew for every run
+    runs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, n))))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.array_distinct(runs(w))).otherwise(F.array(F.xxhash64(content))))[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import code
 from quillspan.functions.paths import plain_hash, plain_path
+from quillspan.session import materialize
 from quillspan.sources.tables import table
 
 SYMBOL_KINDS = ("function", "class", "trait", "impl", "const", "typedef", "test")
@@ -27,6 +28,26 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("language", F.coalesce(F.when(lang != "", lang), F.lit("unknown"))).withColumn("hash", plain_hash(F.col("hash")))
 
 
+#: Rows to be left out that are sent to every executor: beyond that the contents are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def once_per_id(rows: DataFrame) -> DataFrame:
+    """Rows of a parquet table without the further rows of an id, and without shuffling wide columns: ids and
+    places of rows are grouped, and the places of the further rows, which are few, are left out of the scan."""
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    ids = rows.select("id", place.alias("p"))
+    again = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("first")).filter("n > 1")
+    extra = materialize(ids.join(again, "id").filter("p <> first").select(F.col("p.f").alias("f"), F.col("p.r").alias("r")), "repeated")
+    if extra.count() <= BROADCAST_ROWS:
+        extra = F.broadcast(extra)
+    wide = rows.select("*", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    return wide.join(extra, ["f", "r"], "left_anti").drop("f", "r")
+
+
+WIDE = {"content", "doc_comment", "metadata"}
+
+
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """One row per id with the columns wanted; kind and visibility in their known values, tokens estimated
     from the content wherever ``token_count`` is asked for."""
@@ -36,7 +57,10 @@ def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
         "visibility": code.known_visibility(F.col("visibility")),
         "token_count": code.estimate_tokens(F.col("content")),
     }
-    return c.select("id", *(made[x].alias(x) if x in made else F.col(x) for x in columns)).dropDuplicates(["id"])
+    wanted = ["id", *(made[x].alias(x) if x in made else F.col(x) for x in columns)]
+    if WIDE & set(columns):
+        return once_per_id(c).select(*wanted)
+    return c.select(*wanted).dropDuplicates(["id"])
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
