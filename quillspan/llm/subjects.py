@@ -228,7 +228,8 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     ids = docs.select("id").join(lab.select("id", F.lit(1).alias("known")).distinct(), "id", "left").distinct()
     ids = materialize(ids.orderBy(F.col("known").desc_nulls_last(), F.xxhash64("id")).limit(FIT_DOCUMENTS), "rule-ids")
-    texts = docs.join(F.broadcast(ids), "id")
+    # the sample is bounded and may come from few files: spread it over all cores
+    texts = docs.join(F.broadcast(ids), "id").repartition(max(8, documents.sparkSession.sparkContext.defaultParallelism), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 100):
