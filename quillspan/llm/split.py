@@ -106,7 +106,7 @@ def split_bytes(data: bytes, limit: int, overlap: float) -> list[tuple[int, int]
         k = np.searchsorted(pos, want)
         k -= (want - pos[k - 1]) < (pos[k] - want)
         js = np.arange(i + 1, hi)
-        np.clip(k, i + 1, np.maximum(js - 1, i + 1), out=k)
+        np.clip(k, i + 1, np.maximum(js - 1, i + 1) if overlap else js, out=k)
         if hi == m:
             k[-1] = m - 1
         cost = pen[i + 1 : hi] + (size / target - 1.0) ** 2 + 0.25 + f[k]
