@@ -50,11 +50,11 @@ def _(s, d):
     return C.overlap_dedup(ranges(s, d).select("id", "file_id", "line_start", "line_end", "score"), "file_id")
 
 
-@q("join27_expanded_files", sql("ch", "hi AS (SELECT 'q' AS query, id, file_id, ((id * 37 % 1000) / 1000.0)::DOUBLE AS score FROM ch WHERE id % 2 = 0 AND file_id IS NOT NULL)", "mn AS (SELECT query, file_id, avg(score) AS a FROM hi GROUP BY ALL HAVING count(*) >= 3)", "SELECT query, ch.id, round(a * 0.9::DOUBLE, 6) AS score FROM mn JOIN ch USING (file_id) UNION ALL SELECT query, id, round(score, 6) FROM hi WHERE file_id NOT IN (SELECT file_id FROM mn)"))
+@q("join27_expanded_files", sql("ch", "hi AS (SELECT 'q' AS query, id, file_id, ((id * 37 % 1000) / 1000.0)::DOUBLE AS score FROM ch WHERE kind = 'function' AND file_id IS NOT NULL)", "mn AS (SELECT query, file_id, avg(score) AS a FROM hi GROUP BY ALL HAVING count(*) >= 3)", "SELECT query, ch.id, round(a * 0.9::DOUBLE, 9) AS score FROM mn JOIN ch USING (file_id) UNION ALL SELECT query, id, round(score, 9) FROM hi WHERE file_id NOT IN (SELECT file_id FROM mn)"))
 def _(s, d):
-    c = M.chunks(s, d, "file_id").filter("file_id is not null")
-    hits = c.filter("id % 2 = 0").select(F.lit("q").alias("query"), "id", "file_id", ((F.col("id") * 37 % 1000) / 1000.0).alias("score"))
-    return C.expand_files(hits, c).select("query", "id", F.round("score", 6).alias("score"))
+    c = M.chunks(s, d, "file_id", "kind").filter("file_id is not null")
+    hits = c.filter("kind = 'function'").select(F.lit("q").alias("query"), "id", "file_id", ((F.col("id") * 37 % 1000) / 1000.0).alias("score"))
+    return C.expand_files(hits, c).select("query", "id", F.round("score", 9).alias("score"))
 
 
 @q("ctx19_knapsack")

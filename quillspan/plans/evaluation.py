@@ -15,7 +15,7 @@ QUERIES, SQL = q.queries, q.sql
 
 _ROWS = [
     "rs AS (SELECT user_id AS query, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 20)",
-    "jd AS (SELECT user_id AS query, event_id AS item, (event_id % 4)::INT AS relevance FROM events WHERE event_id % 4 > 0 AND event_id % 3 = 0)",
+    "jd AS (SELECT user_id AS query, event_id AS item, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::INT AS relevance FROM events WHERE event_type IN ('purchase','signup','click'))",
 ]
 
 
@@ -23,7 +23,7 @@ def _results(s, d):
     e = table(s, d, "events")
     w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
     r = e.select(F.col("user_id").alias("query"), F.col("event_id").alias("item"), F.row_number().over(w).alias("rank")).filter("rank <= 20")
-    j = e.filter("event_id % 4 > 0 and event_id % 3 = 0").select(F.col("user_id").alias("query"), F.col("event_id").alias("item"), (F.col("event_id") % 4).cast("int").alias("relevance"))
+    j = e.filter(F.col("event_type").isin("purchase", "signup", "click")).select(F.col("user_id").alias("query"), F.col("event_id").alias("item"), F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).otherwise(1).alias("relevance"))
     return r, j
 
 

@@ -13,12 +13,12 @@ from quillspan.sources import model as M
 q = Book()
 QUERIES, SQL = q.queries, q.sql
 
-#: Starts of the walks: the nodes whose key ends in 0.
-_STARTS = "st AS (SELECT DISTINCT source_id AS node FROM dp WHERE source_id % 10 = 0)"
+#: Walks start at every node of the graph.
+_STARTS = "st AS (SELECT source_id AS node FROM dp UNION SELECT target_id FROM dp)"
 
 
 def _starts(e):
-    return e.filter("source_id % 10 = 0").select(F.col("source_id").alias("node")).distinct()
+    return e.select(F.col("source_id").alias("node")).union(e.select("target_id")).distinct()
 
 
 def _walk(source: str, target: str, depth: int) -> str:
@@ -54,7 +54,7 @@ def _(s, d):
 @q(
     "gra06_undirected_distance",
     sql(
-        "dp", "st AS (SELECT DISTINCT source_id AS node FROM dp WHERE source_id % 50 = 0)",
+        "dp", _STARTS,
         "bo AS (SELECT source_id AS a, target_id AS b FROM dp UNION SELECT target_id, source_id FROM dp)",
         "w AS (SELECT node AS start, node AS cur, 0 AS hop FROM st UNION SELECT w.start, bo.b, w.hop + 1 FROM w JOIN bo ON bo.a = w.cur WHERE w.hop < 3)",
         "SELECT start, cur AS node, min(hop)::BIGINT AS distance FROM w GROUP BY ALL", recursive=True,
@@ -62,14 +62,14 @@ def _(s, d):
 )
 def _(s, d):
     e = M.dependencies(s, d)
-    return G.distance(e, e.filter("source_id % 50 = 0").select(F.col("source_id").alias("node")).distinct(), 3)
+    return G.distance(e, _starts(e), 3)
 
 
-@q("gra09_edges_of_symbols", sql("dp", "SELECT source_id AS symbol, target_id AS other, kind, 'out' AS direction FROM dp WHERE source_id % 25 = 0 UNION ALL SELECT target_id, source_id, kind, 'in' FROM dp WHERE target_id % 25 = 0"))
+@q("gra09_edges_of_symbols", sql("dp", "SELECT source_id AS symbol, target_id AS other, kind, 'out' AS direction FROM dp UNION ALL SELECT target_id, source_id, kind, 'in' FROM dp"))
 def _(s, d):
     e = M.dependencies(s, d)
-    out = e.filter("source_id % 25 = 0").select(F.col("source_id").alias("symbol"), F.col("target_id").alias("other"), "kind", F.lit("out").alias("direction"))
-    return out.union(e.filter("target_id % 25 = 0").select("target_id", "source_id", "kind", F.lit("in")))
+    out = e.select(F.col("source_id").alias("symbol"), F.col("target_id").alias("other"), "kind", F.lit("out").alias("direction"))
+    return out.union(e.select("target_id", "source_id", "kind", F.lit("in")))
 
 
 def _rank_sql(iterations: int, damping: float, dangling: bool) -> list[str]:
@@ -108,7 +108,7 @@ def _(s, d):
 @q(
     "gra13_neighbour_files",
     sql(
-        "fe", "st AS (SELECT DISTINCT source_path AS node FROM fe WHERE source_path LIKE '%7.rs')",
+        "fe", "st AS (SELECT source_path AS node FROM fe UNION SELECT target_path FROM fe)",
         "bo AS (SELECT source_path AS a, target_path AS b FROM fe UNION SELECT target_path, source_path FROM fe)",
         "w AS (SELECT node AS start, node AS cur, 0 AS hop FROM st UNION SELECT w.start, bo.b, w.hop + 1 FROM w JOIN bo ON bo.a = w.cur WHERE w.hop < 2)",
         "SELECT start, cur AS node, min(hop)::BIGINT AS distance FROM w WHERE cur <> start GROUP BY ALL", recursive=True,
@@ -117,14 +117,14 @@ def _(s, d):
 def _(s, d):
     e = M.file_edges(s, d)
     both = G.both_ways(e, "source_path", "target_path")
-    st = e.filter(F.col("source_path").endswith("7.rs")).select(F.col("source_path").alias("node")).distinct()
+    st = e.select(F.col("source_path").alias("node")).union(e.select("target_path")).distinct()
     return G.reach(both, st, 2, "source_path", "target_path").filter("node <> start")
 
 
 @q(
     "topk05_related_files",
     sql(
-        "fe", "st AS (SELECT DISTINCT source_path AS node FROM fe WHERE source_path LIKE '%7.rs')",
+        "fe", "st AS (SELECT source_path AS node FROM fe UNION SELECT target_path FROM fe)",
         "bo AS (SELECT source_path AS a, target_path AS b FROM fe UNION SELECT target_path, source_path FROM fe)",
         "w AS (SELECT node AS start, node AS cur, 0 AS hop FROM st UNION SELECT w.start, bo.b, w.hop + 1 FROM w JOIN bo ON bo.a = w.cur WHERE w.hop < 2)",
         "ds AS (SELECT start, cur AS node, min(hop) AS distance FROM w WHERE cur <> start GROUP BY ALL)",
@@ -135,7 +135,7 @@ def _(s, d):
     from pyspark.sql import Window
 
     e = M.file_edges(s, d)
-    st = e.filter(F.col("source_path").endswith("7.rs")).select(F.col("source_path").alias("node")).distinct()
+    st = e.select(F.col("source_path").alias("node")).union(e.select("target_path")).distinct()
     r = G.reach(G.both_ways(e, "source_path", "target_path"), st, 2, "source_path", "target_path").filter("node <> start")
     return r.withColumn("position", F.row_number().over(Window.partitionBy("start").orderBy("distance", "node"))).filter("position <= 5").select("start", "node", "position")
 
@@ -175,20 +175,17 @@ def _(s, d):
     return G.communities(M.dependencies(s, d)).groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first"))
 
 
-@q(
-    "gra20_components",
-    sql(
-        "dp", "nd AS (SELECT source_id AS node FROM dp UNION SELECT target_id FROM dp)", "bo AS (SELECT source_id AS a, target_id AS b FROM dp UNION SELECT target_id, source_id FROM dp)",
-        "w AS (SELECT node AS root, node FROM nd WHERE node IN (SELECT node FROM nd ORDER BY node LIMIT 40) UNION SELECT w.root, bo.b FROM w JOIN bo ON bo.a = w.node)",
-        "SELECT node, min(root) AS component FROM w GROUP BY node", recursive=True,
-    ),
-)
+def _least_label(rounds: int) -> list[str]:
+    """Every node takes the least label around it, again and again."""
+    parts = ["bo AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM dp UNION SELECT target_id, source_id FROM dp)", "l0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS c FROM bo)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"l{i} AS MATERIALIZED (SELECT p.node, least(p.c, min(n.c)) AS c FROM l{i - 1} p JOIN bo ON bo.a = p.node JOIN l{i - 1} n ON n.node = bo.b GROUP BY p.node, p.c)")
+    return parts
+
+
+@q("gra20_components", sql("dp", *_least_label(40), "SELECT node, c AS component FROM l40"))
 def _(s, d):
-    e = M.dependencies(s, d)
-    # the SQL starts from the forty least nodes; so only the components that hold one of them are compared
-    c = G.components(e, "source_id", "target_id")
-    first = e.select(F.col("source_id").alias("node")).union(e.select("target_id")).distinct().orderBy("node").limit(40)
-    return c.join(c.join(first, "node").select("component").distinct(), "component", "left_semi").select("node", "component")
+    return G.components(M.dependencies(s, d), "source_id", "target_id")
 
 
 @q(
@@ -216,13 +213,13 @@ def _(s, d):
 @q("gra21_reasoning_neighbourhood")
 def _(s, d):
     e = M.dependencies(s, d)
-    return G.reasoning(e, e.filter("source_id % 100 = 0").select(F.col("source_id").alias("node")).distinct(), 3, 20).select("start", "node", "hops", F.round("score", 6).alias("score"))
+    return G.reasoning(e, _starts(e), 3, 20).select("start", "node", "hops", F.round("score", 6).alias("score"))
 
 
 @q("gra22_impact")
 def _(s, d):
     e = M.dependencies(s, d)
-    hits = G.reasoning(e, e.filter("source_id % 100 = 0").select(F.col("source_id").alias("node")).distinct(), 3, 100)
+    hits = G.reasoning(e, _starts(e), 3, 100)
     return G.impact(hits).select("start", "node", F.round("score", 6).alias("score"))
 
 

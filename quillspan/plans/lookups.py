@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import code
 from quillspan.functions.paths import plain_path
 from quillspan.operators import relational as R
+from quillspan.operators.history import co_changes
 from quillspan.plans.base_sql import sql
 from quillspan.plans.book import Book
 from quillspan.sources import model as M
@@ -278,21 +279,15 @@ def _(s, d):
 
 
 @q(
-    "set06_jaccard_of_commits",
-    sql(
-        "cf",
-        "s AS (SELECT hash, list_sort(list(path)) AS p, count(*) AS n FROM cf GROUP BY hash HAVING count(*) BETWEEN 2 AND 12)",
-        "ab AS (SELECT a.hash AS ha, b.hash AS hb, count(*) AS both_n FROM cf a JOIN cf b ON a.path = b.path AND a.hash < b.hash JOIN s x ON x.hash = a.hash JOIN s y ON y.hash = b.hash WHERE a.path LIKE '%.c' GROUP BY ALL)",
-        "SELECT ha, hb, round(len(list_intersect(x.p, y.p)) / (x.n + y.n - len(list_intersect(x.p, y.p)))::DOUBLE, 6) AS jaccard FROM ab JOIN s x ON x.hash = ha JOIN s y ON y.hash = hb WHERE both_n >= 2",
-    ),
+    "set06_jaccard_of_co_changes",
+    sql("co", "n AS (SELECT path, count(*) AS n FROM cf GROUP BY path)", "SELECT path_a, path_b, round(freq / (x.n + y.n - freq)::DOUBLE, 6) AS jaccard FROM co JOIN n x ON x.path = path_a JOIN n y ON y.path = path_b WHERE freq >= 3"),
 )
 def _(s, d):
     cf = M.commit_files(s, d)
-    sets = cf.groupBy("hash").agg(F.array_sort(F.collect_set("path")).alias("p")).filter(F.size("p").between(2, 12))
-    c = cf.filter(F.col("path").endswith(".c")).join(sets.select("hash"), "hash", "left_semi")
-    ab = c.select("path", F.col("hash").alias("ha")).join(c.select("path", F.col("hash").alias("hb")), "path").filter("ha < hb").groupBy("ha", "hb").count().filter("count >= 2")
-    x, y = sets.select(F.col("hash").alias("ha"), F.col("p").alias("pa")), sets.select(F.col("hash").alias("hb"), F.col("p").alias("pb"))
-    return ab.join(x, "ha").join(y, "hb").select("ha", "hb", F.round(code.jaccard(F.col("pa"), F.col("pb")), 6).alias("jaccard"))
+    sets = cf.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    x, y = sets.select(F.col("path").alias("path_a"), F.col("n").alias("na")), sets.select(F.col("path").alias("path_b"), F.col("n").alias("nb"))
+    p = co_changes(cf).filter("freq >= 3").join(x, "path_a").join(y, "path_b")
+    return p.select("path_a", "path_b", F.round(F.col("freq") / (F.col("na") + F.col("nb") - F.col("freq")), 6).alias("jaccard"))
 
 
 @q("src03_excluded_paths", sql("fl", "SELECT path FROM fl WHERE NOT (len(list_intersect(string_split(path, '/'), ['node_modules','target','dist','.git','vendor'])) > 0 OR path LIKE '%.lock' OR path LIKE '%.min.js')"))

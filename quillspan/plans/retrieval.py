@@ -223,17 +223,17 @@ def _(s, d):
     return T.blend(fused(s, d).join(n, ["query", "id"], "left")).join(kw.select("query").distinct(), "query", "left_semi").select("query", "id", F.round("score", 7).alias("score"))
 
 
-@q("ret34_symbol_cards", sql("sy", "fl", "dp", "SELECT sy.fqn, fl.path, (SELECT count(*) FROM dp WHERE source_id = sy.id)::BIGINT AS up, (SELECT count(*) FROM dp WHERE target_id = sy.id)::BIGINT AS down FROM sy JOIN fl ON fl.id = sy.file_id WHERE sy.id % 10 = 0"))
+@q("ret34_symbol_cards", sql("sy", "fl", "dp", "SELECT sy.fqn, fl.path, (SELECT count(*) FROM dp WHERE source_id = sy.id)::BIGINT AS up, (SELECT count(*) FROM dp WHERE target_id = sy.id)::BIGINT AS down FROM sy JOIN fl ON fl.id = sy.file_id"))
 def _(s, d):
     e = M.dependencies(s, d)
     up, down = e.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("up")), e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("down"))
-    y = M.symbols(s, d).filter("id % 10 = 0").join(M.files(s, d).select(F.col("id").alias("file_id"), "path"), "file_id")
+    y = M.symbols(s, d).join(M.files(s, d).select(F.col("id").alias("file_id"), "path"), "file_id")
     return y.join(up, "id", "left").join(down, "id", "left").fillna(0, ["up", "down"]).select("fqn", "path", "up", "down")
 
 
-@q("ret36_commits_of_symbol_files", sql("sy", "fl", "cm", "cf", "SELECT sy.fqn, cf.hash FROM sy JOIN fl ON fl.id = sy.file_id JOIN cf ON cf.path = fl.path JOIN cm ON cm.hash = cf.hash WHERE sy.id % 20 = 0"))
+@q("ret36_commits_of_symbol_files", sql("sy", "fl", "cm", "cf", "SELECT sy.fqn, cf.hash FROM sy JOIN fl ON fl.id = sy.file_id JOIN cf ON cf.path = fl.path JOIN cm ON cm.hash = cf.hash"))
 def _(s, d):
-    y = M.symbols(s, d).filter("id % 20 = 0").join(M.files(s, d).select(F.col("id").alias("file_id"), "path"), "file_id").select("fqn", "path")
+    y = M.symbols(s, d).join(M.files(s, d).select(F.col("id").alias("file_id"), "path"), "file_id").select("fqn", "path")
     return y.join(M.commit_files(s, d), "path").join(M.commits(s, d).select("hash"), "hash").select("fqn", "hash")
 
 

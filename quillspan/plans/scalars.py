@@ -51,26 +51,9 @@ def _(s, d):
     return x.join(st, "intent").groupBy("intent").agg(F.count(F.lit(1)).alias("queries"), F.min("depth").alias("depth"), F.max("tests").alias("tests"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in code.STOP_WORDS) + "]"
-
-
-@q(
-    "str02_keyword_tokens",
-    sql(
-        "cm",
-        r"""w AS (SELECT hash, list_filter(list_transform(regexp_split_to_array(trim(message), '\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}_]+', ''), '[^\p{L}\p{N}_]+$', '')), lambda x: x <> '' AND NOT list_contains("""
-        + _STOP
-        + ", lower(x))) AS ws FROM cm WHERE message IS NOT NULL)",
-        "SELECT hash, array_to_string(ws, ' ') AS words FROM w WHERE NOT list_bool_or([false] || list_transform(ws, lambda x: regexp_matches(x, '[_A-Z./:-]')))  AND len(ws) = len(list_distinct(list_transform(ws, lambda x: lower(x))))",
-    ),
-)
+@q("str02_keyword_tokens")
 def _(s, d):
-    # identifiers give their parts as well: compared here where a message has none
-    c = M.commits(s, d).filter("message is not null").withColumn("ws", code.keyword_tokens(F.col("message")))
-    stop = F.array(*map(F.lit, code.STOP_WORDS))
-    plain = F.filter(F.transform(F.split(F.trim("message"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")), lambda w: (w != "") & ~F.array_contains(stop, F.lower(w)))
-    c = c.withColumn("p", plain).filter(~F.exists("p", lambda x: x.rlike(r"[_A-Z./:\-]")) & (F.size("p") == F.size(F.array_distinct(F.transform("p", F.lower)))))
-    return c.select("hash", F.array_join("ws", " ").alias("words"))
+    return M.commits(s, d).filter("message is not null").select("hash", F.array_join(code.keyword_tokens(F.col("message")), " OR ").alias("words"))
 
 
 @q(
@@ -120,14 +103,14 @@ def _(s, d):
     return M.symbols(s, d).select("id", code.purpose(F.col("name")).alias("purpose"))
 
 
-@q("str25_first_sentences", sql("ch", "x AS (SELECT id, trim(doc_comment) AS t FROM ch WHERE doc_comment IS NOT NULL AND regexp_full_match(doc_comment, '[ -~]*'))", r"SELECT id, nullif(CASE WHEN instr(t, '. ') > 1 THEN substr(t, 1, instr(t, '. ') - 1) ELSE regexp_replace(trim(string_split(t, chr(10))[1]), '\.$', '') END, '') AS sentence FROM x"))
+@q("str25_first_sentences", sql("ch", "x AS (SELECT id, trim(doc_comment) AS t FROM ch WHERE doc_comment IS NOT NULL)", r"SELECT id, nullif(CASE WHEN instr(t, '. ') > 1 THEN substr(t, 1, instr(t, '. ') - 1) ELSE regexp_replace(trim(string_split(t, chr(10))[1]), '\.$', '') END, '') AS sentence FROM x"))
 def _(s, d):
-    return M.chunks(s, d, "doc_comment").filter(F.col("doc_comment").isNotNull() & F.col("doc_comment").rlike(r"^[ -~]*\z")).select("id", code.first_sentence(F.col("doc_comment")).alias("sentence"))
+    return M.chunks(s, d, "doc_comment").filter("doc_comment is not null").select("id", code.first_sentence(F.col("doc_comment")).alias("sentence"))
 
 
-@q("str27_module_paths", sql("sy", "SELECT id, nullif(regexp_extract(regexp_replace(fqn, '^crate::', ''), '^(.*)::[^:]*$', 1), '') AS module FROM sy WHERE contains(fqn, '::')"))
+@q("str27_module_paths", sql("sy", "SELECT id, nullif(CASE WHEN contains(x, '::') THEN regexp_extract(x, '^(.*)::[^:]*$', 1) ELSE regexp_extract(x, '^(.*)\\.[^.]*$', 1) END, '') AS module FROM (SELECT id, regexp_replace(fqn, '^crate::', '') AS x FROM sy)"))
 def _(s, d):
-    return M.symbols(s, d).filter(F.col("fqn").contains("::")).select("id", code.module_path(F.col("fqn")).alias("module"))
+    return M.symbols(s, d).select("id", code.module_path(F.col("fqn")).alias("module"))
 
 
 @q(

@@ -75,17 +75,17 @@ def _(s, d):
     return R.upsert(e.limit(0), e, ["source_url"], [F.col("ingested_at").desc_nulls_last(), F.col("id").desc()]).select("source_url", "ingested_at")
 
 
-@q("gra10_edges_removed", sql("dp", "SELECT source_id, target_id FROM dp WHERE source_id % 10 <> 0 AND target_id % 10 <> 0"))
+@q("gra10_edges_removed", sql("dp", "gn AS (SELECT DISTINCT target_id AS id FROM dp WHERE kind = 'error_flow')", "SELECT source_id, target_id FROM dp WHERE source_id NOT IN (SELECT id FROM gn) AND target_id NOT IN (SELECT id FROM gn)"))
 def _(s, d):
     e = M.dependencies(s, d)
-    gone = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct().filter("id % 10 = 0")
+    gone = e.filter("kind = 'error_flow'").select(F.col("target_id").alias("id")).distinct()
     return R.delete_where(e, gone, {"source_id": "id", "target_id": "id"}).select("source_id", "target_id")
 
 
-@q("ret09_tombstones", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0")
+@q("ret09_tombstones", "SELECT vec_id AS id FROM embeddings WHERE label <> 3")
 def _(s, d):
-    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"))
-    return v.join(v.filter("id % 7 = 0"), "id", "left_anti")
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return v.select("id").join(v.filter("label = 3").select("id"), "id", "left_anti")
 
 
 @q("xtr30_vectors_assigned", sql("ch", "SELECT id, coalesce(vector_id, id + 1000000) AS vector_id FROM ch"))

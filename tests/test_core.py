@@ -37,6 +37,11 @@ def test_identifiers_and_queries(spark):
     assert [r[0] for r in i.select(code.intent(F.col("q"))).collect()] == ["data_flow", "dependency", "test_coverage", "debug", "unknown"]
 
 
+def test_keyword_tokens(spark):
+    df = spark.createDataFrame([("How does the SearchEngine parse my_file?",), ("the of",), ("A a! find `x`",)], "q string")
+    assert [r[0] for r in df.select(code.keyword_tokens(F.col("q"))).collect()] == [["SearchEngine", "search", "engine", "parse", "my_file", "file"], [], ["x"]]
+
+
 def test_cycle_graph(spark):
     e = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
     assert {tuple(r) for r in G.strong_components(e).collect()} == {(1, 1), (2, 1), (3, 1)}
