@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +45,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once, unless they have it on their path."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = shared_dir(spark).removeprefix("file://")
+    place = Path(folder if folder.startswith("/") and os.path.isdir(folder) else tempfile.mkdtemp(prefix="quillspan-"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(place / f"quillspan-{app}"), "zip", root, "quillspan"))
+    _shipped.add(app)
