@@ -43,8 +43,8 @@ def frequent_pairs(
 
     Exactness at any size: items with fewer than ``min_count`` baskets, or with n_a > n / min_lift,
     can be in no case (n_ab <= min(n_a, n_b)), so the one item a third of the baskets touch never
-    reaches the enumeration when min_lift >= 3. Baskets of more than ``large`` remaining items aren't
-    enumerated: pairs that some small basket has get the weights of the large ones they share by
+    reaches the enumeration when min_lift >= 3. Baskets of more than ``large`` remaining items are never
+    gathered into an array nor enumerated: pairs that some small basket has get the weights of the large ones they share by
     intersecting the two items' lists of large baskets; pairs no small basket has must share
     ``min_count`` large ones and are found from the distinct lists (see ``_large_only``)."""
     g = F.col(group) if group else F.lit("")
@@ -57,19 +57,22 @@ def frequent_pairs(
         items.select("grp", "item", "n_i", "n", F.xxhash64("grp", "item").alias("i")), "pair-items"
     )
     kept = base.join(items.select("grp", "item"), ["grp", "item"], "left_semi")
-    arrays = kept.groupBy("grp", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
-    collapsed = materialize(arrays.groupBy("grp", "items").agg(F.count(F.lit(1)).alias("w")), "pair-baskets")
+    sizes = kept.groupBy("grp", "basket").agg(F.count(F.lit(1)).alias("c"))
+    wide = materialize(sizes.filter(F.col("c") > large).select("grp", "basket"), "pair-large-baskets")
+    some_wide = not wide.isEmpty()
+    narrow = kept.join(wide, ["grp", "basket"], "left_anti") if some_wide else kept
+    arrays = narrow.groupBy("grp", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
+    collapsed = arrays.groupBy("grp", "items").agg(F.count(F.lit(1)).alias("w"))
     small = (
-        collapsed.filter(F.size("items") <= large)
-        .select("grp", "w", F.explode(_pairs_of("items")).alias("p"))
+        collapsed.select("grp", "w", F.explode(_pairs_of("items")).alias("p"))
         .groupBy("grp", F.col("p.a").alias("item_a"), F.col("p.b").alias("item_b"))
         .agg(F.sum("w").alias("n_small"))
     )
-    big = collapsed.filter(F.size("items") > large).select("grp", F.xxhash64("grp", "items").alias("k"), "w", F.explode("items").alias("item"))
-    lists = big.groupBy("grp", "item").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ks"))
-    if big.isEmpty():
+    if not some_wide:
         counted = small.withColumnRenamed("n_small", "n_ab")
     else:
+        big = kept.join(wide, ["grp", "basket"], "left_semi").select("grp", F.xxhash64("grp", "basket").alias("k"), F.lit(1).cast("long").alias("w"), "item")
+        lists = big.groupBy("grp", "item").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ks"))
         lists = materialize(lists, "pair-large")
         la, lb = (lists.select("grp", F.col("item").alias(f"item_{x}"), F.col("ks").alias(f"k{x}")) for x in "ab")
         shared = F.aggregate(F.array_intersect("ka", "kb"), F.lit(0).cast("long"), lambda t, s: t + s["w"])
