@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.session import materialize
+
 BUG_WORDS = ("fix", "bug", "patch")
 LARGE_COMMIT = 400
 
 
-def co_changes(commit_files: DataFrame) -> DataFrame:
+def co_changes(commit_files: DataFrame, large: int = LARGE_COMMIT) -> DataFrame:
     """(path_a, path_b, freq), path_a < path_b, of (hash, path): commits with both files. Equal file sets
-    are counted once with a weight before their pairs are enumerated."""
-    sets = commit_files.groupBy("hash").agg(F.array_sort(F.collect_set("path")).alias("p")).filter("size(p) > 1")
+    are counted once with a weight before their pairs are enumerated. Commits of more than ``large`` files
+    are never gathered: their files are dealt into blocks, and each pair of blocks is a row of its own."""
+    rows = commit_files.select("hash", "path").distinct()
+    sizes = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    wide = materialize(sizes.filter(F.col("n") > large), "wide-commits")
+    some = not wide.isEmpty()
+    narrow = rows.join(wide.select("hash"), "hash", "left_anti") if some else rows
+    sets = narrow.groupBy("hash").agg(F.array_sort(F.collect_list("path")).alias("p")).filter("size(p) > 1")
     sets = sets.groupBy("p").agg(F.count(F.lit(1)).alias("w"))
     x = F.col("p")
     pair = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return sets.select("w", F.explode(pair).alias("e")).groupBy(F.col("e.a").alias("path_a"), F.col("e.b").alias("path_b")).agg(F.sum("w").alias("freq"))
+    pairs = sets.select("w", F.explode(pair).alias("e")).select(F.col("e.a").alias("path_a"), F.col("e.b").alias("path_b"), "w")
+    if some:
+        blocks = F.ceil(F.col("n") / F.lit(max(large // 2, 1))).cast("int")
+        r = rows.join(wide, "hash").withColumn("k", blocks).withColumn("b", F.pmod(F.xxhash64("path"), F.col("k")).cast("int"))
+        r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        met = r.groupBy("hash", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.array_sort(F.collect_set(F.struct("path", "b"))).alias("p"))
+        two = F.flatten(F.transform(x, lambda a, i: F.transform(F.filter(F.slice(x, i + 2, F.size(x)), lambda c: (F.col("i") == F.col("j")) | (c["b"] != a["b"])), lambda c: F.struct(a["path"].alias("a"), c["path"].alias("b")))))
+        pairs = pairs.unionByName(met.select(F.explode(two).alias("e")).select(F.col("e.a").alias("path_a"), F.col("e.b").alias("path_b"), F.lit(1).cast("long").alias("w")))
+    return pairs.groupBy("path_a", "path_b").agg(F.sum("w").alias("freq"))
 
 
 def co_changed_with(commits: DataFrame, commit_files: DataFrame, path: str, history: int = 500, least: int = 2, limit: int = 20) -> DataFrame:

@@ -94,10 +94,11 @@ def test_reasoning_scores(spark):
     assert hits == {2: 0.36, 3: 0.216}
 
 
-def test_co_changes_against_brute_force(spark):
+@pytest.mark.parametrize("large", [2, 400])
+def test_co_changes_against_brute_force(spark, large):
     rng = random.Random(3)
     rows = sorted({(f"h{rng.randrange(12)}", f"p{rng.randrange(8)}") for _ in range(50)})
-    got = {(r["path_a"], r["path_b"]): r["freq"] for r in H.co_changes(spark.createDataFrame(rows, "hash string, path string")).collect()}
+    got = {(r["path_a"], r["path_b"]): r["freq"] for r in H.co_changes(spark.createDataFrame(rows, "hash string, path string"), large).collect()}
     want = {}
     for h in {h for h, _ in rows}:
         for a, b in itertools.combinations(sorted(p for g, p in rows if g == h), 2):
