@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.sampling import bounded_sample
 from quillspan.session import materialize
 
 K1, B = 1.2, 0.75
@@ -139,14 +140,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "dot"
 
 
 class InvertedFile:
-    """Vectors by their nearest centroid. Centroids come from at most ``sample`` vectors of least hash (unit
-    length, cosine); every vector is indexed. A search probes the ``probe`` nearest cells of each query."""
+    """Vectors by their nearest centroid. Centroids come from about ``sample`` vectors at most, chosen by hash
+    (unit length, cosine); every vector is indexed. A search probes the ``probe`` nearest cells of each query."""
 
     def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = 50_000, rounds: int = 12, seed: int = 7) -> None:
         self.spark = vectors.sparkSession
         n = vectors.count()
-        rows = vectors.filter("vector is not null").orderBy(F.xxhash64("id")).limit(sample).select("vector").collect()
-        x = np.array([r[0] for r in rows], dtype=np.float64)
+        rows = sorted(bounded_sample(vectors.filter("vector is not null").select("id", "vector"), sample, "id").collect(), key=lambda r: r[0])
+        x = np.array([r[1] for r in rows], dtype=np.float64)
         self.cells = min(cells or max(1, int(np.sqrt(n))), max(1, len(x)))
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
         rng = np.random.default_rng(seed)
