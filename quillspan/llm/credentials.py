@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.sampling import bounded_sample
 from quillspan.session import materialize
 
-#: Candidates the regression is fitted on at most, by least hash of their row, line and place.
+#: About as many distinct candidates, chosen by hash, the regression is fitted on at most.
 FIT_ROWS = 40_000
 
 #: A line with none of these (in any case) holds no credential; the last are prefixes of issued keys.
@@ -34,7 +35,7 @@ _BARE = re.compile(r"^\s*(?:[-*>|]\s+)?(?:export\s+|set\s+|ENV\s+|ARG\s+)?([A-Za
 _URL = re.compile(r"\b([A-Za-z][\w+.\-]*)://([^\s:/@\"'`<>]*):([^\s\"'`<>]+)@(?=[\w\[.\-])")
 _CONN = re.compile(r"(?:[;?&]|(?<=[\"'`]))\s*(password|passwd|pwd|secret|accountkey|sharedaccesskey|token|pass)=([^;\"'`\s&]+)", re.I)
 _ISSUED = re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[posu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|glpat-[\w\-]{20,}|AIza[\w\-]{35})")
-_FLAG = re.compile(r"(?:--?(password|passwd|pass|pw|token|secret|api-?key|access-?key|auth-?token|client-secret|credential)(?:=|\s+))[\"']?([^\s\"'`]+)", re.I)
+_FLAG = re.compile(r"(?:(?<![\w\-.])--?(password|passwd|pass|pw|token|secret|api-?key|access-?key|auth-?token|client-secret|credential)(?:=|\s+))[\"']?([^\s\"'`]+)", re.I)
 _SSHPASS = re.compile(r"\b(sshpass)\s+-p\s*[\"']?([^\s\"'`]+)")
 _USER = re.compile(r"\s(-u|--user)[ =][\"']?[\w.\-]+:([^\s\"'`@]+)")
 _HEADER = re.compile(r"\b(authorization|proxy-authorization|x-[\w\-]*(?:key|token|secret)[\w\-]*)\b[\"'`]?\]?\s*[:=,]\s*[\"'`]?(?:(?:bearer|basic|token|apikey)\s+)?([^\s\"'`]{8,})", re.I)
@@ -62,7 +63,7 @@ _SRI = re.compile(r"^sha\d+[-:]")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
 _PATHLIKE = re.compile(r"^[\w.\-]*(?:/[\w.\-]+)+$|^[\w\-]+\.(?:py|rs|ts|tsx|js|go|java|rb|c|h|md|json|ya?ml|toml|css|sh|txt|lock|html?)$|^https?://[^@]*$|^data:")
 _WORDS = re.compile(r"^[A-Za-z]+(?:[_.\-:][A-Za-z]+)*(?:\(.*)?$")
-_CALL = re.compile(r"^[\w.]+[(\[]|^\w+(?:->|\?\.|::)|^[a-z_]\w*(?:\.[a-z_]\w*)+$|^[A-Z_][A-Z0-9_]*$|^self\.|^this\.")
+_CALL = re.compile(r"^[\w.]+[(\[]|^\w+(?:->|\?\.|::)|^[a-z_]\w*(?:\.[a-z_]\w*)+$|^[A-Z0-9]*_[A-Z0-9_]*$|^[A-Z]+\d?$|^self\.|^this\.")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -328,15 +329,15 @@ def find_credentials(sources: list[DataFrame], fit_rows: int = FIT_ROWS) -> Data
     """(src, row_id, line_no, start, stop, place, key, score) of the credentials among the candidates of
     ``find_candidates`` over one or more tables; start and stop are code points of the row's content.
 
-    The regression is fitted on at most ``fit_rows`` distinct candidates of least hash and applied to
-    all. Null ids and contents have no findings; repeated rows count once; an id with two contents has
+    The regression is fitted on about ``fit_rows`` distinct candidates at most, chosen by hash, and applied
+    to all. Null ids and contents have no findings; repeated rows count once; an id with two contents has
     the findings of both; texts of any length are read whole, line by line; empty tables give no rows."""
     every = sources[0]
     for s in sources[1:]:
         every = every.unionByName(s)
     every = materialize(every, "credential-candidates")
-    sample = every.select("place", "key", "value", "path").distinct().orderBy(F.xxhash64("place", "key", "value", "path")).limit(fit_rows)
-    model = CredentialModel.fit([tuple(r) for r in sample.collect()]).dumps()
+    sample = bounded_sample(every.select("place", "key", "value", "path").distinct(), fit_rows, "place", "key", "value", "path")
+    model = CredentialModel.fit(sorted((tuple(r) for r in sample.collect()))).dumps()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = CredentialModel.loads(model)

@@ -19,9 +19,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.sampling import bounded_sample
 from quillspan.session import materialize
 
-#: Documents the rules are mined from at most: labelled ones first, then by least hash of their id.
+#: About as many documents the rules are mined from at most: labelled ones first, then others, by hash of their id.
 FIT_DOCUMENTS = 20_000
 LEAST_SHARE = 0.2
 MOST_SUBJECTS = 2
@@ -214,7 +215,7 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Rules from at most FIT_DOCUMENTS documents, labelled ones first.
+    """Rules from about FIT_DOCUMENTS documents at most, labelled ones first.
 
     First every sentence of a labelled document is held to be on each of its subjects. The rules so found
     give subjects to the other documents of the sample, in which rarer terms are found the same way, and
@@ -226,8 +227,10 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     if subjects is not None:
         lab = lab.join(subjects.select(_plain("subject").alias("subject")).distinct(), "subject", "left_semi")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    ids = docs.select("id").join(lab.select("id", F.lit(1).alias("known")).distinct(), "id", "left").distinct()
-    ids = materialize(ids.orderBy(F.col("known").desc_nulls_last(), F.xxhash64("id")).limit(FIT_DOCUMENTS), "rule-ids")
+    ids = docs.select("id").distinct().join(lab.select("id", F.lit(1).alias("known")).distinct(), "id", "left")
+    known = bounded_sample(ids.filter("known = 1"), FIT_DOCUMENTS, "id")
+    others = bounded_sample(ids.filter("known is null"), max(FIT_DOCUMENTS - known.count(), 0), "id")
+    ids = materialize(known.unionByName(others), "rule-ids")
     # the sample is bounded and may come from few files: spread it over all cores
     texts = docs.join(F.broadcast(ids), "id").repartition(max(8, documents.sparkSession.sparkContext.defaultParallelism), "id")
 
