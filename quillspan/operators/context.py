@@ -159,3 +159,18 @@ def contained(chunks: DataFrame) -> DataFrame:
     order = [F.col("line_start"), F.col("line_end").desc(), F.col("id")]
     before = Window.partitionBy("file_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn("_far", F.max("line_end").over(before)).filter("line_end <= _far").select("id")
+
+
+def causal_order(entries: DataFrame, both: DataFrame, hops: int = 3) -> DataFrame:
+    """Entries (query, id, file_id, line_start, score) with ``position``: files by their distance in ``both``
+    (source_id, target_id) from the file of the best entry, unreachable ones last, then by their best score;
+    entries of a file by line."""
+    from quillspan.operators.graph import reach
+
+    top = entries.groupBy("query").agg(F.max_by("file_id", F.struct("score", (-F.col("id")).alias("i"))).alias("top"))
+    near = reach(both, top.select(F.col("top").alias("node")).distinct(), hops).select(F.col("start").alias("top"), F.col("node").alias("file_id"), "distance")
+    best = entries.groupBy("query", "file_id").agg(F.max("score").alias("best"))
+    e = entries.join(top, "query").join(near, ["top", "file_id"], "left").join(best, ["query", "file_id"])
+    far = F.when(F.col("file_id") == F.col("top"), 0).otherwise(F.coalesce("distance", F.lit(hops + 1)))
+    w = Window.partitionBy("query").orderBy(far, F.round("best", 9).desc(), "file_id", F.col("line_start").asc_nulls_first(), "id")
+    return e.withColumn("position", F.row_number().over(w))
