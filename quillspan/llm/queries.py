@@ -43,6 +43,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = near.NearDuplicates(table(spark, d, "chunks"), k=3, threshold=0.7).groups()
+    return found.select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"), "links")
+
+
 def _credentials(spark: SparkSession, d: str) -> DataFrame:
     chunks, docs = table(spark, d, "chunks"), table(spark, d, "external_docs")
     return credentials.find_credentials([
@@ -108,6 +113,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_masked": p6_masked,
     "p7_files": p7_files,

@@ -167,6 +167,19 @@ def test_near_duplicates_against_brute_force(spark, hot):
                     want.add((x, y))
     got = {tuple(r) for r in near.NearDuplicates(df, k=3, threshold=0.7, hot=hot).pairs().collect()}
     assert got == want and len(want) > 10
+    group = {}
+    for r in near.NearDuplicates(df, k=3, threshold=0.7, hot=hot).groups().collect():
+        group[r["id"]] = r["group"]
+    root = {x: x for x in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in want:
+        root[max(top(x), top(y))] = min(top(x), top(y))
+    assert {x: top(x) for x in sets} == group
     assert near.NearDuplicates(df.limit(0), k=3, threshold=0.7).pairs().count() == 0
 
 
