@@ -24,6 +24,8 @@ from quillspan.session import materialize
 
 #: About as many distinct candidates, chosen by hash, the regression is fitted on at most.
 FIT_ROWS = 40_000
+#: Rows with findings that are sent to every executor to pick the contents to be masked: some 30 MB.
+BROADCAST_SPANS = 300_000
 
 #: A line with none of these (in any case) holds no credential; the last are prefixes of issued keys.
 _HINTS = [x.encode() for x in ("pass", "pwd", "secret", "token", "key", "_pw", "pw=", "cred", "authorization", "bearer", "-----begin", "://", "login", " -u", "--user", "eyj", "akia", "ghp_", "gho_", "xox", "sk_live", "glpat-", "aiza")]
@@ -375,6 +377,9 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 def redact(df: DataFrame, findings: DataFrame, src: str, id_col: str, content_col: str) -> DataFrame:
     """(src, row_id, content) of the rows of a table with findings, masked; once per content."""
     spans = findings.filter(F.col("src") == src).groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = materialize(spans, "credential-spans")
+    if spans.count() <= BROADCAST_SPANS:  # else the contents are shuffled to them
+        spans = F.broadcast(spans)
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(content_col).alias("content")).filter("content is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
