@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions.paths import plain_path, repository
+from quillspan.session import materialize
 
 #: Conventional names of folders and files that tools write or people copy in.
 CONVENTIONAL = {
@@ -39,6 +40,8 @@ _DATA_LINE = r"""(?m)^[ \t]*+(?:(?:"[0-9a-fA-F]{2,}+"|'[0-9a-fA-F]{2,}+'|[-+]?0[
 _DATA_RUN = r"[A-Za-z0-9+/=_]{200,}+"
 
 LEAST_SHARE = 0.2
+#: Attribute files that are sent to every executor to pick their chunks: some 10 MB.
+BROADCAST_FILES = 100_000
 MINE_SUPPORT = 8
 MINE_PRECISION = 0.9
 DECLARED_REPOSITORIES = 3
@@ -148,7 +151,9 @@ def parse_attributes(content: str | None, folder: str) -> list[tuple]:
 
 def attribute_rules(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(repo, depth, line, regex, kind, value, attribute, on) of all attribute files of the corpus."""
-    at = files.filter(F.col("path").rlike(r"(?:^|/)\.gitattributes$")).select("file_id", "path")
+    at = materialize(files.filter(F.col("path").rlike(r"(?:^|/)\.gitattributes$")).select("file_id", "path"), "attribute-files")
+    if at.count() <= BROADCAST_FILES:  # else the chunks are shuffled to them
+        at = F.broadcast(at)
     texts = chunks.join(at, "file_id").select("path", "id", "line_start", "content").distinct()
     whole = texts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("line_start", F.lit(0)).alias("l"), "id", "content"))).alias("c"))
     whole = whole.select("path", F.concat_ws("\n", F.transform("c", lambda x: x["content"])).alias("content"))
