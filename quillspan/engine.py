@@ -15,6 +15,7 @@ from quillspan.operators import history as H
 from quillspan.operators import relational as R
 from quillspan.operators import retrieval as T
 from quillspan.sources import model as M
+from quillspan.sources import parse
 from quillspan.sources.tables import table
 
 MOST_RESULTS, MOST_DEPTH, LONGEST_QUERY = 200, 20, 10_000
@@ -95,6 +96,37 @@ class Engine:
         body = M.chunks(self.spark, self.d, "content").join(hits.select("id"), "id", "left_semi")
         return C.render(hits.join(body, "id"))
 
+    def context_window_pack(self, query: str, limit: int | None = None, token_budget: int = 4000) -> DataFrame:
+        """The results with ranges that touch joined, best first while they fit."""
+        hits = self.search(query, limit, 10**9)
+        rows = hits.join(M.chunks(self.spark, self.d, "content").join(hits.select("id"), "id", "left_semi"), "id")
+        m = C.merge_adjacent(rows.select("query", "file_id", "path", "id", "line_start", "line_end", "score", "token_count", "content"), ["query", "file_id", "path"])
+        return C.greedy_pack(m.withColumn("id", F.xxhash64("file_id", "line_start")), token_budget)
+
+    def search_by_intent(self, query: str, limit: int | None = None) -> DataFrame:
+        """The search with the strategy of the query's intent beside each result."""
+        i = self.spark.createDataFrame([(checked_query(query),)], "q string").select(code.intent(F.col("q"))).first()[0]
+        arch, impl, tests, docs, recent, depth, high = code.STRATEGY[i]
+        return self.search(query, limit).withColumns({"intent": F.lit(i), "graph_depth": F.lit(depth), "include_tests": F.lit(tests), "include_docs": F.lit(docs)})
+
+    def multi_repo_search(self, query: str, priorities: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+        """Results of all repositories, scores times the priority of the repository (1 if none is given)."""
+        n = clamp(limit, 10, MOST_RESULTS)
+        r = self.search(query, min(MOST_RESULTS, 2 * n), 10**9).withColumn("repository", F.substring_index("path", "/", 1))
+        weight = code.lookup(F.col("repository"), priorities, 1.0) if priorities else F.lit(1.0)
+        return r.withColumn("score", F.col("score") * weight).orderBy(F.round("score", 9).desc(), "id").limit(n)
+
+    def audit_plan(self, plan: str, depth: int | None = None) -> DataFrame:
+        """(query, text, files, symbols, affected, risk) per step of a plan."""
+        steps = parse.plan_steps(self.spark.createDataFrame([(1, checked_query(plan))], "id long, t string"), "id", "t").select(F.concat(F.lit("s"), F.col("step").cast("string")).alias("query"), "text")
+        terms = steps.select("query", F.explode(code.keyword_tokens(F.col("text"))).alias("term"))
+        hits = T.bm25(M.chunks(self.spark, self.d, "content", "doc_comment", "symbol_path"), "id", FIELDS, terms, 10).select("query", "id")
+        hits = hits.join(M.chunks(self.spark, self.d, "file_id", "symbol_path"), "id")
+        e = M.dependencies(self.spark, self.d)
+        n = G.blast_radius(e, hits.select(F.col("id").alias("node")).distinct(), clamp(depth, 3, MOST_DEPTH)).groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        g = hits.join(n, "id", "left").groupBy("query").agg(F.countDistinct("file_id").alias("files"), F.countDistinct("symbol_path").alias("symbols"), F.coalesce(F.sum("n"), F.lit(0)).alias("affected"))
+        return steps.join(g, "query", "left").withColumn("risk", code.risk_level(F.coalesce("affected", F.lit(0))))
+
     # ------------------------------------------------------------ symbols, files
     def get_symbol(self, name: str, limit: int | None = None) -> DataFrame:
         y = M.symbols(self.spark, self.d)

@@ -37,12 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that ``materialize`` wrote in this process; only when no result is to be read any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    n = 0
+    while _written:
+        path = hadoop.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a DataFrame once to the shared folder and read it back.
 
     Cuts lineage for plans that use a result several times; the files outlive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,14 +10,24 @@ from quillspan.operators import chunking as K
 from quillspan.operators import context as C
 from quillspan.operators.interchange import export_documents, import_statistics
 from quillspan.operators.sampling import bounded_sample
+from quillspan.session import materialize, release
 from quillspan.sources import model as M
 from quillspan.sources import parse as P
+from quillspan.sources.memory import Memory, rules
+from quillspan.sources.scan import repository
 from quillspan.streaming import index_events as S
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
+def test_materialized_tables_are_released(spark):
+    df = materialize(spark.range(5), "test")
+    assert df.count() == 5 and release(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
 def test_bounded_sample(spark):
     df = spark.range(10_000)
     n = bounded_sample(df, 500, "id").count()
@@ -77,6 +87,26 @@ def test_every_method_of_the_engine(spark):
     e = Engine(spark, SF)
     path = M.commit_files(spark, SF).orderBy("path").first()["path"]
     fqn = M.symbols(spark, SF).orderBy("fqn").first()["fqn"]
-    for df in (e.get_symbol("re"), e.file_summary(path), e.explain_symbol(fqn), e.module_map(4), e.languages(), e.dependencies(2), e.call_graph(2), e.cycles(), e.recent_changes(3), e.co_changes(path), e.commit_summary(path), e.bug_prone_files(), e.external_docs()):
+    for df in (e.get_symbol("re"), e.file_summary(path), e.explain_symbol(fqn), e.module_map(4), e.languages(), e.dependencies(2), e.call_graph(2), e.cycles(), e.recent_changes(3), e.co_changes(path), e.commit_summary(path), e.bug_prone_files(), e.external_docs(), e.context_window_pack("hold the lock"), e.search_by_intent("where is the lock"), e.multi_repo_search("hold the lock"), e.audit_plan("- hold the lock\n- test it")):
         df.limit(1).collect()
     assert e.explain_symbol(fqn).count() == 1 and e.recent_changes(3).count() == 3
+
+
+def test_memory_and_rules(tmp_path):
+    m = Memory(f"{tmp_path}/m.json")
+    m.set("a", "x")
+    m.set("a", "y")
+    assert Memory(f"{tmp_path}/m.json").list() == [("a", "y")] and m.get("b") is None
+    for k, v in (("", "x"), ("k" * 257, "x"), ("k", "x" * 65_537)):
+        with pytest.raises(ValueError):
+            m.set(k, v)
+    (tmp_path / "rules.md").write_text("z" * 70_000)
+    assert len(rules(f"{tmp_path}/rules.md")) == 65_536 and rules(f"{tmp_path}/none") is None
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    for name, text in (("a/x.py", "print(1)\n"), ("a/node_modules/y.js", "1"), ("b.bin", "1"), ("a/z.RS", "fn a() {}")):
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text)
+    got = {r["path"]: (r["language"], r["content"]) for r in repository(spark, f"{tmp_path}/r").collect()}
+    assert got == {"a/x.py": ("python", "print(1)\n"), "a/z.RS": ("rust", "fn a() {}")}
