@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillspan.session import materialize
 
 LARGE_BASKET = 256
+#: Items that are sent to every executor to number the rows: some 50 MB.
+BROADCAST_ITEMS = 300_000
 
 
 def _pairs_of(items: str) -> F.Column:
@@ -48,42 +50,49 @@ def frequent_pairs(
     intersecting the two items' lists of large baskets; pairs no small basket has must share
     ``min_count`` large ones and are found from the distinct lists (see ``_large_only``)."""
     g = F.col(group) if group else F.lit("")
-    base = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item"), g.alias("grp")).dropna(subset=["basket", "item"])
-    base = materialize(base.withColumn("grp", F.coalesce("grp", F.lit(""))).distinct(), "pair-rows")
+    b = F.col(basket)
+    # a basket is told by 128 bits of hashes, an item by a number given to it when its row is written
+    base = rows.select(b.alias("basket"), F.col(item).alias("item"), F.coalesce(g.cast("string"), F.lit("")).alias("grp")).dropna(subset=["basket", "item"])
+    base = base.select(F.xxhash64("basket").alias("b1"), F.xxhash64(F.lit(1), "basket").alias("b2"), "item", "grp")
+    base = materialize(base.distinct(), "pair-rows")
     per_item = base.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n_i"))
-    per_group = base.groupBy("grp").agg(F.countDistinct("basket").alias("n"))
+    per_group = base.select("grp", "b1", "b2").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     items = per_item.join(per_group, "grp").filter((F.col("n_i") >= min_count) & (F.col("n") >= min_lift * F.col("n_i")))
-    items = materialize(
-        items.select("grp", "item", "n_i", "n", F.xxhash64("grp", "item").alias("i")), "pair-items"
-    )
-    kept = base.join(items.select("grp", "item"), ["grp", "item"], "left_semi")
-    sizes = kept.groupBy("grp", "basket").agg(F.count(F.lit(1)).alias("c"))
-    wide = materialize(sizes.filter(F.col("c") > large).select("grp", "basket"), "pair-large-baskets")
+    items = materialize(items.select("grp", "item", "n_i", "n", F.monotonically_increasing_id().alias("i")), "pair-items")
+    ids = items.select("grp", "item", "i")
+    if items.count() <= BROADCAST_ITEMS:  # else the rows are shuffled to the items
+        ids = F.broadcast(ids)
+    kept = materialize(base.join(ids, ["grp", "item"]).select("b1", "b2", F.xxhash64("grp").alias("g"), "i"), "pair-kept")
+    keys = ["g", "b1", "b2"]
+    wide = materialize(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > large).select(*keys), "pair-large-baskets")
     some_wide = not wide.isEmpty()
-    narrow = kept.join(wide, ["grp", "basket"], "left_anti") if some_wide else kept
-    arrays = narrow.groupBy("grp", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
-    collapsed = arrays.groupBy("grp", "items").agg(F.count(F.lit(1)).alias("w"))
+    narrow = kept.join(wide, keys, "left_anti") if some_wide else kept
+    arrays = narrow.groupBy(*keys).agg(F.array_sort(F.collect_list("i")).alias("items")).filter(F.size("items") > 1)
+    collapsed = arrays.groupBy("items").agg(F.count(F.lit(1)).alias("w"))  # items of two groups have other numbers
     small = (
-        collapsed.select("grp", "w", F.explode(_pairs_of("items")).alias("p"))
-        .groupBy("grp", F.col("p.a").alias("item_a"), F.col("p.b").alias("item_b"))
+        collapsed.select("w", F.explode(_pairs_of("items")).alias("p"))
+        .groupBy(F.col("p.a").alias("ia"), F.col("p.b").alias("ib"))
         .agg(F.sum("w").alias("n_small"))
     )
     if not some_wide:
         counted = small.withColumnRenamed("n_small", "n_ab")
     else:
-        big = kept.join(wide, ["grp", "basket"], "left_semi").select("grp", F.xxhash64("grp", "basket").alias("k"), F.lit(1).cast("long").alias("w"), "item")
-        lists = big.groupBy("grp", "item").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ks"))
-        lists = materialize(lists, "pair-large")
-        la, lb = (lists.select("grp", F.col("item").alias(f"item_{x}"), F.col("ks").alias(f"k{x}")) for x in "ab")
+        big = kept.join(wide, keys, "left_semi").select(F.xxhash64(*keys).alias("k"), F.lit(1).cast("long").alias("w"), "i", "g")
+        lists = materialize(big.groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ks")), "pair-large")
+        la, lb = (lists.select(F.col("i").alias(f"i{x}"), F.col("ks").alias(f"k{x}")) for x in "ab")
         shared = F.aggregate(F.array_intersect("ka", "kb"), F.lit(0).cast("long"), lambda t, s: t + s["w"])
-        both = small.join(la, ["grp", "item_a"], "left").join(lb, ["grp", "item_b"], "left")
-        with_small = both.select("grp", "item_a", "item_b", (F.col("n_small") + F.coalesce(shared, F.lit(0))).alias("n_ab"))
-        only = _large_only(lists, min_count).join(small, ["grp", "item_a", "item_b"], "left_anti")
+        both = small.join(la, "ia", "left").join(lb, "ib", "left")
+        with_small = both.select("ia", "ib", (F.col("n_small") + F.coalesce(shared, F.lit(0))).alias("n_ab"))
+        only = _large_only(lists, min_count).join(small, ["ia", "ib"], "left_anti")
         counted = with_small.unionByName(only)
     counted = counted.filter(F.col("n_ab") >= min_count)
-    ia = items.select("grp", F.col("item").alias("item_a"), F.col("n_i").alias("n_a"), "n")
-    ib = items.select("grp", F.col("item").alias("item_b"), F.col("n_i").alias("n_b"))
-    out = counted.join(ia, ["grp", "item_a"]).join(ib, ["grp", "item_b"])
+    a = items.select(F.col("i").alias("ia"), "grp", F.col("item").alias("item_a"), F.col("n_i").alias("n_a"), "n")
+    c = items.select(F.col("i").alias("ib"), F.col("item").alias("item_b"), F.col("n_i").alias("n_b"))
+    out = counted.join(a, "ia").join(c, "ib")
+    swap = F.col("item_a") > F.col("item_b")  # numbers needn't be in the order of the names
+    x, y = (F.struct(F.col(f"item_{e}").alias("item"), F.col(f"n_{e}").alias("k")) for e in "ab")
+    out = out.select("grp", F.when(swap, y).otherwise(x).alias("x"), F.when(swap, x).otherwise(y).alias("y"), "n_ab", "n")
+    out = out.select("grp", F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), "n_ab", F.col("x.k").alias("n_a"), F.col("y.k").alias("n_b"), "n")
     ab, na, nb, n = (F.col(c) for c in ("n_ab", "n_a", "n_b", "n"))
     return out.filter(ab * n >= min_lift * na * nb).select(
         "grp", "item_a", "item_b", "n_ab", "n_a", "n_b", "n",
@@ -98,18 +107,18 @@ def _large_only(lists: DataFrame, min_count: int) -> DataFrame:
     Items with the same list are collapsed, so each pair of distinct lists is looked at once; only
     lists that could reach the count take part, and a pair is expanded to items only if it does."""
     total = F.aggregate("ks", F.lit(0).cast("long"), lambda t, s: t + s["w"])
-    sig = lists.filter(total >= min_count).select("grp", "item", "ks", F.xxhash64("ks").alias("sig"))
-    member = sig.select("grp", "sig", "item")
-    one = sig.groupBy("grp", "sig").agg(F.first("ks").alias("ks"))
-    keys = one.select("grp", "sig", "ks", F.explode("ks").alias("e")).select("grp", "sig", "ks", F.col("e.k").alias("k"))
-    a = keys.select("grp", "k", F.col("sig").alias("sa"), F.col("ks").alias("ka"))
-    b = keys.select("grp", "k", F.col("sig").alias("sb"), F.col("ks").alias("kb"))
+    sig = lists.filter(total >= min_count).select("g", "i", "ks", F.xxhash64("g", "ks").alias("sig"))
+    member = sig.select("sig", "i")
+    one = sig.groupBy("g", "sig").agg(F.first("ks").alias("ks"))
+    keys = one.select("g", "sig", "ks", F.explode("ks").alias("e")).select("g", "sig", "ks", F.col("e.k").alias("k"))
+    a = keys.select("g", "k", F.col("sig").alias("sa"), F.col("ks").alias("ka"))
+    b = keys.select("g", "k", F.col("sig").alias("sb"), F.col("ks").alias("kb"))
     common = F.array_intersect("ka", "kb")
     shared = F.aggregate(common, F.lit(0).cast("long"), lambda t, s: t + s["w"])
     # each pair of lists meets once per shared basket: keep the meeting at their first one
-    met = a.join(b, ["grp", "k"]).filter("sa <= sb").withColumn("common", common)
-    met = met.filter(F.col("k") == F.col("common")[0]["k"]).select("grp", "sa", "sb", shared.alias("n_ab")).filter(F.col("n_ab") >= min_count)
-    ma = member.select("grp", F.col("sig").alias("sa"), F.col("item").alias("x"))
-    mb = member.select("grp", F.col("sig").alias("sb"), F.col("item").alias("y"))
-    pairs = met.join(ma, ["grp", "sa"]).join(mb, ["grp", "sb"]).filter((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
-    return pairs.select("grp", F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "n_ab")
+    met = a.join(b, ["g", "k"]).filter("sa <= sb").withColumn("common", common)
+    met = met.filter(F.col("k") == F.col("common")[0]["k"]).select("sa", "sb", shared.alias("n_ab")).filter(F.col("n_ab") >= min_count)
+    ma = member.select(F.col("sig").alias("sa"), F.col("i").alias("x"))
+    mb = member.select(F.col("sig").alias("sb"), F.col("i").alias("y"))
+    pairs = met.join(ma, "sa").join(mb, "sb").filter((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("ia"), F.greatest("x", "y").alias("ib"), "n_ab")
