@@ -76,7 +76,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 def commits(spark: SparkSession, d: str) -> DataFrame:
     """(hash, message, author, ts, summary) once per hash; both time formats, in UTC; an empty author is null."""
     c = table(spark, d, "commits").withColumn("hash", plain_hash(F.col("hash"))).filter("hash is not null")
-    ts = F.expr("try_to_timestamp(concat(substring(trim(committed_at), 1, 10), ' ', substring(trim(committed_at), 12, 8)))")
+    ts = F.expr("try_cast(concat(substring(trim(committed_at), 1, 10), ' ', substring(trim(committed_at), 12, 8)) as timestamp_ntz)")
     author = F.trim("author")
     c = c.select("hash", "message", F.when(author != "", author).alias("author"), ts.alias("ts"), "summary")
     return c.dropDuplicates(["hash"])
