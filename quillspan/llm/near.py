@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,15 +36,23 @@ def _sketch(df: DataFrame, id_col: str, content_col: str, k: int, sketches: int,
                 own = np.concatenate([[0], np.cumsum(n[some])]).astype(np.int64)
                 k1, k2, d = (np.zeros(len(n), x) for x in (np.uint64, np.uint64, np.int64))
                 sk = np.zeros((0, sketches), np.uint64)
+                size = np.where(some, sketches, 0)
                 if some.any():
                     k1[some], k2[some] = sh.sequence_keys(h, own)
                     labelled, d[some] = sh.occurrence_labelled(h, own)
                     sk = sh.order_minhash(labelled, own, sketches, kmers)
+                    again = n[some] > d[some]
+                    if again.any():  # repeated runs: texts are compared as sets, so sketches of the first occurrences are added
+                        first, to_first = sh.first_occurrences(h, own)
+                        keep = np.repeat(again, np.diff(to_first))
+                        more = sh.order_minhash(first[keep], np.concatenate([[0], np.cumsum(d[some][again])]).astype(np.int64), sketches, kmers)
+                        sk = np.insert(sk, np.flatnonzero(again) + 1, more, axis=0)
+                        size[np.flatnonzero(some)[again]] = 2 * sketches
                 if not some.all():  # too short for a run of k words: only the content as it is can be equal
                     raw = texts.filter(pa.array(~some))
                     k1[~some] = pd.util.hash_array(np.asarray(raw.to_pandas(), dtype=object), categorize=False)
                     k2[~some] = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.uint64)
-                lists = np.concatenate([[0], np.cumsum(np.where(some, sketches, 0))]).astype(np.int32)
+                lists = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 arrays = [
                     ids, pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(d),
                     pa.ListArray.from_arrays(pa.array(lists), pa.array(sk.ravel().view(np.int64))),
@@ -134,31 +142,64 @@ def similar(left: pa.Array, right: pa.Array, k: int, threshold: float, band: int
     return good, matched
 
 
-def candidate_pairs(texts: DataFrame, threshold: float, hot: int = HOT_BUCKET) -> DataFrame:
+def _runs(texts: DataFrame, k: int) -> DataFrame:
+    """(id, k1, k2, h) of each text (id, text) with runs of k words: its key and the set of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                ids, body = batch.slice(at, 1000).columns
+                h, to = sh.shingle_hashes(*sh.word_hashes(body), k)
+                some = np.diff(to) > 0
+                own = np.concatenate([[0], np.cumsum(np.diff(to)[some])]).astype(np.int64)
+                k1 = k2 = first = np.zeros(0, np.uint64)
+                if some.any():
+                    k1, k2 = sh.sequence_keys(h, own)
+                    first, own = sh.first_occurrences(h, own)
+                sets = pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(first.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), sets], ["id", "k1", "k2", "h"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, k1 long, k2 long, h array<long>")
+
+
+def prefix_pairs(runs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of ``runs`` (id, k1, k2, h) with every pair whose sets reach the threshold, by a prefix filter.
+
+    The runs of each text are put in order of how many texts have them, the rarest first. Of two sets at the
+    threshold the first n - ceil(threshold * n) + 1 runs have one in common, and from the first they share on
+    enough are left of both; numbers of runs too far apart can't reach it."""
+    runs = materialize(runs.withColumn("n", F.size("h")), "near-runs")
+    each = runs.select("id", "k1", "k2", "n", F.explode("h").alias("key"))
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    sets = each.join(common, "key").groupBy("id", "k1", "k2", "n").agg(F.array_sort(F.collect_set(F.struct("c", "key"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(threshold * F.col("n") - 1e-6).cast("int") + 1)
+    rows = sets.select("id", "n", F.posexplode(first).alias("at", "e")).filter("e.c > 1").select("id", "n", "at", F.col("e.key").alias("key"))
+    rows = materialize(rows, "near-prefixes")
+    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"left_{x}")) for x in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6)
+    enough = F.least("left_a", "left_b") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    return a.join(b, "key").filter(near & enough).select("a", "b").distinct()
+
+
+def candidate_pairs(texts: DataFrame, threshold: float, runs: Callable[[DataFrame], DataFrame], hot: int = HOT_BUCKET) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``texts`` (id, n, sk) that share a sketch and could reach the
     threshold by their numbers of runs.
 
     Sketches only one text has are dropped by a join with the counts of the others, which splits a key that
-    holds many rows where a window would keep it in one task. A bucket of more than ``hot`` texts is split: its texts meet only where they share a second sketch too, which pairs at
-    the threshold do (of 28 sketches of 3 k-mers a pair at 0.7 shares 9.6; none in 8e-6, one in 1e-4 of
-    the cases)."""
+    holds many rows where a window would keep it in one task. The texts of buckets of more than ``hot`` texts
+    don't meet there but in an exact join of their sets of runs (``runs`` gives those of a table of ids), so
+    that no pair of a crowded bucket is lost."""
     buckets = texts.select("id", "n", F.explode(F.array_distinct("sk")).alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     hits = materialize(buckets.join(shared, "key"), "near-hits")
-
-    def meet(rows: DataFrame, on: list[str]) -> DataFrame:
-        a = rows.select(*on, F.col("id").alias("a"), F.col("n").alias("na"))
-        b = rows.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"))
-        pairs = a.join(b, on).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-        return pairs.select("a", "b")
-
-    out = meet(hits.filter(F.col("c") <= hot), ["key"])
+    few = hits.filter(F.col("c") <= hot)
+    a = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    out = pairs.select("a", "b")
     crowded = hits.filter(F.col("c") > hot)
     if not crowded.isEmpty():
-        others = hits.select("id", F.col("key").alias("key2"))
-        two = crowded.join(others, "id").filter("key <> key2")
-        two = two.select(F.least("key", "key2").alias("x"), F.greatest("key", "key2").alias("y"), "id", "n").distinct()
-        out = out.unionByName(meet(two, ["x", "y"]))
+        out = out.unionByName(prefix_pairs(runs(materialize(crowded.select("id").distinct(), "near-crowded")), threshold))
     return out.distinct()
 
 
@@ -179,13 +220,17 @@ class NearDuplicates:
         reps = sketched.filter("n > 0").groupBy(*keys).agg(F.min(F.struct("id", "sk")).alias("m")).select(F.col("m.id").alias("id"), "n", F.col("m.sk").alias("sk"))
         least = sketched.groupBy(*keys).agg(F.min("id").alias("rep"))
         self.members = sketched.select("id", *keys).join(least, keys).select("id", "rep").distinct()
-        found = materialize(candidate_pairs(reps, threshold, hot), "near-candidates")
-        wanted = materialize(found.select(F.col("a").alias("id")).union(found.select(F.col("b"))).distinct(), "near-wanted")
-        if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
-            wanted = F.broadcast(wanted)
         body = df.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).alias("text")).filter("id is not null and text is not null")
-        body = body.join(wanted, "id", "left_semi")
-        left, right = (body.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+
+        def texts_of(ids: DataFrame) -> DataFrame:
+            if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
+                ids = F.broadcast(ids)
+            return body.join(ids, "id", "left_semi")
+
+        found = materialize(candidate_pairs(reps, threshold, lambda ids: _runs(texts_of(ids), k), hot), "near-candidates")
+        wanted = materialize(found.select(F.col("a").alias("id")).union(found.select(F.col("b"))).distinct(), "near-wanted")
+        chosen = texts_of(wanted)
+        left, right = (chosen.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -83,6 +83,17 @@ def occurrence_labelled(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return out, np.bincount(o[new], minlength=len(n))
 
 
+def first_occurrences(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of each text without those that stood in it before, offsets of each text in them)."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((h, owner))  # stable: the first of equal ones comes first
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    keep = np.zeros(len(h), bool)
+    keep[order[new]] = True
+    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(offsets) - 1))]).astype(np.int64)
+
+
 def order_minhash(labelled: np.ndarray, offsets: np.ndarray, sketches: int, size: int) -> np.ndarray:
     """Order MinHash with ``size`` k-mers a sketch: the smallest labelled k-mers under a hash of each
     sketch, put in the order in which they stand in the text. (texts, sketches) of 64-bit numbers;

@@ -183,6 +183,41 @@ def test_near_duplicates_against_brute_force(spark, hot):
     assert near.NearDuplicates(df.limit(0), k=3, threshold=0.7).pairs().count() == 0
 
 
+def test_pairs_that_share_one_crowded_sketch_are_found(spark):
+    import numpy as np
+
+    def sketches(words):
+        h, to = shingles.shingle_hashes(*shingles.word_hashes(pa.array([" ".join(words)])), 3)
+        return set(shingles.order_minhash(shingles.occurrence_labelled(h, to)[0], to, near.SKETCHES, near.KMERS)[0].tolist())
+
+    rng = random.Random(5)
+    rows, seen = [], 0
+    while seen < 6:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        blocks = [base[j : j + 12] for j in range(0, 60, 12)]
+        rng.shuffle(blocks)
+        moved = [w for b in blocks for w in b]
+        s, u = ({tuple(x[j : j + 3]) for j in range(58)} for x in (base, moved))
+        if len(s & u) >= 0.7 * len(s | u) and len(sketches(base) & sketches(moved)) == 1:
+            rows += [(2 * seen, " ".join(base)), (2 * seen + 1, " ".join(moved))]
+            seen += 1
+    df = spark.createDataFrame(rows, "id long, content string")
+    got = {tuple(r) for r in near.NearDuplicates(df, k=3, threshold=0.7, hot=1).pairs().collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(6)}
+    assert np.diff(shingles.first_occurrences(np.array([5, 5, 3, 5, 3, 3], np.uint64), np.array([0, 4, 6]))[1]).tolist() == [2, 1]
+
+
+def test_repeated_blocks_are_near_what_stands_once(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        block = [f"u{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(block)), (2 * i + 1, " ".join(block * 3))]
+    df = spark.createDataFrame(rows, "id long, content string")
+    got = {tuple(r) for r in near.NearDuplicates(df, k=3, threshold=0.7).pairs().collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
 def test_banded_alignment_both_ways():
     import numpy as np
 
