@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from quillspan.operators.sampling import bounded_sample
 from quillspan.session import materialize
 
-#: About as many documents the rules are mined from at most: labelled ones first, then others, by hash of their id.
+#: About as many labelled documents the rules are mined from at most, by hash of their id; others are all used.
 FIT_DOCUMENTS = 20_000
+#: Ids of labelled documents left out, and terms, that are sent to every executor: else they are joined.
+BROADCAST_IDS = 2_000_000
+BROADCAST_TERMS = 200_000
 LEAST_SHARE = 0.2
 MOST_SUBJECTS = 2
 MIN_SUPPORT = 0.0004
@@ -168,34 +171,44 @@ def prune(rules: list[tuple[tuple[str, ...], str, float]], margin: float = 0.02)
     return out
 
 
-def _select(rows: DataFrame, prior: dict[str, float]) -> set[str]:
-    """Terms that speak for a subject: in enough documents and LEAST_LIFT times likelier with one subject
+def _select(rows: DataFrame, prior: dict[str, float]) -> DataFrame:
+    """(item) terms that speak for a subject: in enough documents and LEAST_LIFT times likelier with one subject
     than that is on the whole; a pair of words only if it says more than each of the two."""
     n = sum(prior.values())
     counts = rows.select("id", "subject", F.explode("items").alias("item")).distinct().groupBy("item", "subject").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy("item").agg(F.sum("c").alias("t"), F.collect_list(F.struct("subject", "c")).alias("s")).filter(f"t >= {LEAST_COUNT}")
-    lift = {}
-    for r in best.collect():
-        lift[r["item"]] = max((x["c"] + 0.5) / (r["t"] + 2) / (prior[x["subject"]] / n) for x in r["s"])
-    words = {t for t, v in lift.items() if v >= LEAST_LIFT and " " not in t}
-    return words | {t for t, v in lift.items() if " " in t and v >= LEAST_LIFT and v > 1.3 * max(lift.get(w, 0.0) for w in t.split(" "))}
+    part = F.create_map(*(F.lit(x) for s, v in prior.items() for x in (s, v / n)))
+    best = counts.groupBy("item").agg(F.sum("c").alias("t"), F.collect_list(F.struct("c", part[F.col("subject")].alias("p"))).alias("s")).filter(f"t >= {LEAST_COUNT}")
+    lift = best.select("item", F.array_max(F.transform("s", lambda x: (x["c"] + 0.5) / (F.col("t") + 2) / x["p"])).alias("v"))
+    lift = materialize(lift, "rule-terms")
+    words, two = lift.filter("instr(item, ' ') = 0"), lift.filter(f"instr(item, ' ') > 0 and v >= {LEAST_LIFT}")
+    for at in (1, -1):
+        one = words.select(F.col("item").alias("word"), F.col("v").alias("w"))
+        two = two.withColumn("word", F.substring_index("item", " ", at)).join(one, "word", "left").filter("v > 1.3D * coalesce(w, 0)").select("item", "v")
+    return words.filter(f"v >= {LEAST_LIFT}").select("item").union(two.select("item"))
 
 
 def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     """Rules from transactions (id, items, subject), not pruned."""
     prior = {r["subject"]: float(r["n"]) for r in rows.select("id", "subject").distinct().groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(prior.values())
-    chosen = _select(rows, prior) if prior else set()
-    if not chosen:
+    if not prior:
         return []
-    sel = rows.sparkSession.sparkContext.broadcast(chosen)
+    chosen = materialize(_select(rows, prior), "rule-chosen")
+    few = chosen.count()
+    if not few:
+        return []
+    sel = rows.sparkSession.sparkContext.broadcast({r["item"] for r in chosen.collect()} if few <= BROADCAST_TERMS else None)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 1000):
-            items = [[*(x for x in i if x in sel.value), CLASS + s] for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            items = [[*(i if sel.value is None else (x for x in i if x in sel.value)), CLASS + s] for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in items if len(x) > 1], pa.list_(pa.string()))], ["items"])
 
-    baskets = rows.select("items", "subject").mapInArrow(keep, "items array<string>")
+    baskets = rows.select("items", "subject")
+    if few > BROADCAST_TERMS:
+        each = materialize(baskets.withColumn("row", F.monotonically_increasing_id()), "rule-rows").select("row", "subject", F.explode("items").alias("item"))
+        baskets = each.join(chosen, "item").groupBy("row", "subject").agg(F.collect_list("item").alias("items")).select("items", "subject")
+    baskets = baskets.mapInArrow(keep, "items array<string>")
     baskets = materialize(baskets, "rule-baskets")
     size = baskets.count()
     if not size:
@@ -215,10 +228,10 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Rules from about FIT_DOCUMENTS documents at most, labelled ones first.
+    """Rules from about FIT_DOCUMENTS labelled documents at most and all others.
 
     First every sentence of a labelled document is held to be on each of its subjects. The rules so found
-    give subjects to the other documents of the sample, in which rarer terms are found the same way, and
+    give subjects to the documents without labels, in which rarer terms are found the same way, and
     then to each sentence; the rules are mined again from that, so that sentences on a second subject,
     passing mentions and wrong labels no longer weigh. One labelled document in five is kept out to choose
     the threshold, that of the best F1 of the documents' subjects. Labels are compared in plain spelling;
@@ -227,12 +240,15 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     if subjects is not None:
         lab = lab.join(subjects.select(_plain("subject").alias("subject")).distinct(), "subject", "left_semi")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    ids = docs.select("id").distinct().join(lab.select("id", F.lit(1).alias("known")).distinct(), "id", "left")
-    known = bounded_sample(ids.filter("known = 1"), FIT_DOCUMENTS, "id")
-    others = bounded_sample(ids.filter("known is null"), max(FIT_DOCUMENTS - known.count(), 0), "id")
-    ids = materialize(known.unionByName(others), "rule-ids")
-    # the sample is bounded and may come from few files: spread it over all cores
-    texts = docs.join(F.broadcast(ids), "id").repartition(max(8, documents.sparkSession.sparkContext.defaultParallelism), "id")
+    labelled = materialize(docs.select("id").join(lab.select("id").distinct(), "id", "left_semi").distinct(), "rule-labelled")
+    known = materialize(bounded_sample(labelled, FIT_DOCUMENTS, "id"), "rule-ids")
+    beyond = labelled.join(F.broadcast(known), "id", "left_anti")
+    left_out = beyond.count()
+    if left_out:
+        docs = docs.join(F.broadcast(beyond) if left_out <= BROADCAST_IDS else beyond, "id", "left_anti")
+    # the documents may come from few files: spread them over all cores
+    spark = documents.sparkSession
+    texts = docs.repartition(max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 100):
@@ -245,7 +261,7 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(items, pa.list_(pa.string()))], ["id", "no", "items"])
 
     lines = materialize(texts.select("id", "text").mapInArrow(run, "id long, no int, items array<string>"), "rule-sentences")
-    lab = materialize(lab.join(F.broadcast(ids.filter("known = 1").select("id")), "id", "left_semi"), "rule-labels")
+    lab = materialize(lab.join(F.broadcast(known), "id", "left_semi"), "rule-labels")
     rough = RuleModel(prune(_mine(lines.join(lab, "id").select("id", "items", "subject"))), 0.4)
 
     def assigned(model: RuleModel) -> DataFrame:

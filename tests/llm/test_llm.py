@@ -382,3 +382,23 @@ def test_subjects_on_held_out_documents(spark):
     assert len(held) >= 76 and len(wrong) <= 4 and not {900, 901, 902} & {r["doc_id"] for r in got}
     assert subjects.classify(d, subjects.fit_rules(d, lab.limit(0))).count() == 0
     assert subjects.classify(d.limit(0), model).count() == 0
+
+
+def test_all_unlabelled_documents_are_mined(spark, monkeypatch):
+    rng = random.Random(8)
+    topics = {"v": ["violin", "chord"], "w": ["harbour", "tide"], "x": ["engine", "piston"], "y": ["flour", "oven"]}
+    rows, labels = [], []
+    for i in range(240):
+        s = "vwxy"[i % 4]
+        # a rarer word of each subject that no labelled document has
+        words = [*topics[s], *([f"rare{s}"] if i >= 60 else [])]
+        rows.append((i, " ".join(f"Here is {w} with {rng.choice('abcdefgh') * 3} now." for w in words for _ in range(2))))
+        if i < 60:
+            labels.append((i, s))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    monkeypatch.setattr(subjects, "FIT_DOCUMENTS", 60)
+    model = subjects.fit_rules(d, lab)
+    assert {"rarex", "rarey"} <= {t for left, _, _ in model.rules for t in left}
+    monkeypatch.setattr(subjects, "BROADCAST_TERMS", 0)
+    joined = subjects.fit_rules(d, lab)
+    assert sorted(joined.rules) == sorted(model.rules) and joined.threshold == model.threshold
