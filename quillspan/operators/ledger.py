@@ -91,6 +91,13 @@ class WorkLedger:
         rows = new.select("*", F.lit("pending").alias("state"), F.lit(0).alias("token"), F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("expires"))
         return self._write(rows, "item", run)
 
+    def adopt(self, done: DataFrame, run: str, now: datetime) -> DataFrame:
+        """Record what earlier runs completed, (key, version, token), as done; rows without a version or a valid
+        token are rejected."""
+        good = done.filter("version is not null and token is not null")
+        rows = good.select("key", "version", F.lit("done").alias("state"), "token", F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("expires"))
+        return self._write(rows, "done", run)
+
     def state(self, now: datetime) -> DataFrame:
         """(key, version, state, token, worker) of each item at ``now``; token is that of the newest lease."""
         item = self._read("item").select("key", "version").distinct()

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.operators.ledger import completed_versions, latest_scans, pending_items
+from quillspan.operators.ledger import WorkLedger, completed_versions, latest_scans
+from quillspan.session import shared_dir
 from quillspan.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """path of each file the next run must take up."""
+    """path of each file the next run must take up: the pending items of a ledger of what is on disk, in
+    which the versions that earlier runs completed are done."""
+    ledger, now = WorkLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"), datetime.now()
+    ledger.enqueue(latest_scans(table(spark, d, "file_scans")), "scan", now)
     done = completed_versions(table(spark, d, "files"), table(spark, d, "index_runs"))
-    return pending_items(latest_scans(table(spark, d, "file_scans")), done).selectExpr("key as path")
+    ledger.adopt(done, "earlier", now)
+    return ledger.state(now).filter("state = 'pending'").selectExpr("key as path")
 
 
 QUERIES = {"p2_found": p2_found}

@@ -215,6 +215,25 @@ def test_only_changed_files_are_pending(spark):
     assert found(spark, scans[:1], [], []) == {"a"}
 
 
+def test_pending_files_come_from_the_ledger(spark, monkeypatch):
+    from quillspan.plans.incremental import p2_found
+    from quillspan.sources.tables import table
+
+    d, ledgers = "/root/testdata/sf0.001", []
+    state = WorkLedger.state
+    monkeypatch.setattr(WorkLedger, "state", lambda self, now: ledgers.append(self) or state(self, now))
+    got = sorted(r["path"] for r in p2_found(spark, d).collect())
+    scans, done = latest_scans(table(spark, d, "file_scans")), completed_versions(table(spark, d, "files"), table(spark, d, "index_runs"))
+    assert got == sorted(r["key"] for r in pending_items(scans, done).collect()) and got
+    led, now = ledgers[0], dt.datetime(2030, 1, 1)
+    leased = led.lease("w", "run", now, now + dt.timedelta(hours=1))
+    assert sorted(r["key"] for r in leased.collect()) == got and led.state(now).filter("state = 'pending'").count() == 0
+    later = now + dt.timedelta(hours=2)  # the worker broke off
+    again = led.lease("v", "retry", later, later + dt.timedelta(hours=1))
+    assert led.complete(leased, "late", later).count() == 0 and led.complete(again, "retry", later).count() == len(got)
+    assert led.state(later).filter("state <> 'done'").count() == 0
+
+
 def test_ledger_survives_failures(spark, tmp_path):
     led = WorkLedger(spark, f"file://{tmp_path}/ledger")
     items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "key string, version string")
