@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.operators.ledger import WorkLedger, completed_versions, latest_scans
-from quillspan.session import shared_dir
+from quillspan.operators.ledger import WorkLedger, completed_versions, latest_scans, run_once
+from quillspan.session import scratch
 from quillspan.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """path of each file the next run must take up: the pending items of a ledger of what is on disk, in
-    which the versions that earlier runs completed are done."""
-    ledger, now = WorkLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"), datetime.now()
-    ledger.enqueue(latest_scans(table(spark, d, "file_scans")), "scan", now)
+    """path of each file the next run takes up: the items that a run over a ledger in the shared folder leases and
+    completes. What earlier runs completed under a valid token (a run that ended well) is done before."""
+    ledger = WorkLedger(spark, scratch(spark, "ledger"))
     done = completed_versions(table(spark, d, "files"), table(spark, d, "index_runs"))
-    ledger.adopt(done, "earlier", now)
-    return ledger.state(now).filter("state = 'pending'").selectExpr("key as path")
+    return run_once(ledger, latest_scans(table(spark, d, "file_scans")), done, "next", datetime.now()).selectExpr("key as path")
 
 
 QUERIES = {"p2_found": p2_found}

@@ -28,10 +28,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary
-    folder only where that is unset (tests on one machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary folder only where
+    that is unset and all executors are in this process (tests); on a cluster without it this is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -50,13 +53,19 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``release``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a DataFrame once to the shared folder and read it back.
 
     Cuts lineage for plans that use a result several times; the files outlive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

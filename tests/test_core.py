@@ -15,7 +15,7 @@ from quillspan.operators import history as H
 from quillspan.operators import metrics
 from quillspan.operators import relational as R
 from quillspan.operators import retrieval as T
-from quillspan.operators.ledger import WorkLedger, completed_versions, latest_scans, pending_items
+from quillspan.operators.ledger import WorkLedger, completed_versions, latest_scans, pending_items, run_once
 from quillspan.sources import parse as P
 
 
@@ -215,36 +215,46 @@ def test_only_changed_files_are_pending(spark):
     assert found(spark, scans[:1], [], []) == {"a"}
 
 
-def test_pending_files_come_from_the_ledger(spark, monkeypatch):
+def test_a_run_takes_up_the_changed_files_of_the_data(spark, tmp_path):
     from quillspan.plans.incremental import p2_found
     from quillspan.sources.tables import table
 
-    d, ledgers = "/root/testdata/sf0.001", []
-    state = WorkLedger.state
-    monkeypatch.setattr(WorkLedger, "state", lambda self, now: ledgers.append(self) or state(self, now))
+    d, now = "/root/testdata/sf0.001", dt.datetime(2030, 1, 1)
     got = sorted(r["path"] for r in p2_found(spark, d).collect())
     scans, done = latest_scans(table(spark, d, "file_scans")), completed_versions(table(spark, d, "files"), table(spark, d, "index_runs"))
     assert got == sorted(r["key"] for r in pending_items(scans, done).collect()) and got
-    led, now = ledgers[0], dt.datetime(2030, 1, 1)
-    leased = led.lease("w", "run", now, now + dt.timedelta(hours=1))
-    assert sorted(r["key"] for r in leased.collect()) == got and led.state(now).filter("state = 'pending'").count() == 0
-    later = now + dt.timedelta(hours=2)  # the worker broke off
-    again = led.lease("v", "retry", later, later + dt.timedelta(hours=1))
-    assert led.complete(leased, "late", later).count() == 0 and led.complete(again, "retry", later).count() == len(got)
+    led = WorkLedger(spark, f"file://{tmp_path}/ledger")
+
+    def breaks(leases):
+        assert sorted(r["key"] for r in leases.collect()) == got
+        raise InterruptedError
+
+    for _ in range(2):  # the run breaks off, and so does its retry
+        with pytest.raises(InterruptedError):
+            run_once(led, scans, done, "run", now, breaks)
+    assert run_once(led, scans, done, "other", now).count() == 0  # all are leased
+    leased, later = led._read("lease", "run"), now + dt.timedelta(hours=2)
+    assert sorted(r["key"] for r in run_once(led, scans, done, "third", later).collect()) == got
+    assert led.complete(leased, "late", later).count() == 0  # the first worker comes back
     assert led.state(later).filter("state <> 'done'").count() == 0
+    assert run_once(led, scans, done, "fourth", later).count() == 0
 
 
 def test_ledger_survives_failures(spark, tmp_path):
     led = WorkLedger(spark, f"file://{tmp_path}/ledger")
-    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "key string, version string")
+    items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("c", "1"), (None, "1"), ("d", None)], "key string, version string")
     led.enqueue(items, "run1", at(0))
-    led.enqueue(items, "run1", at(0))  # the retry writes the same rows again
+    assert led.enqueue(items, "run1", at(0)).count() == 3  # the retry returns the same rows
     assert {r["key"]: r["state"] for r in led.state(at(0)).collect()} == {"a": "pending", "b": "pending", "c": "pending"}
     one = led.lease("w1", "l1", at(1), at(2))
-    assert {r["token"] for r in one.collect()} == {1}
+    again = led.lease("w1", "l1", at(1), at(2))
+    assert one.collect() == again.collect() and {r["token"] for r in again.collect()} == {1}
+    assert {r["state"] for r in led.state(at(1.2)).collect()} == {"leased"}
     assert led.lease("w2", "l2", at(1.5), at(3)).count() == 0  # all are leased
-    done = led.complete(one.filter("key = 'a'"), "d1", at(1.8))
-    assert [r["key"] for r in done.collect()] == ["a"]
+    for _ in range(2):
+        done = led.complete(one.filter("key = 'a'"), "d1", at(1.8))
+        assert [r["key"] for r in done.collect()] == ["a"]
+        assert {r["key"]: r["state"] for r in led.state(at(1.9)).collect()} == {"a": "done", "b": "leased", "c": "leased"}
     two = led.lease("w2", "l3", at(2.5), at(4))  # b and c came back
     assert {(r["key"], r["token"]) for r in two.collect()} == {("b", 2), ("c", 2)}
     assert led.complete(one, "d2", at(2.6)).count() == 0  # the first worker's tokens are old
@@ -253,3 +263,27 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert {r["state"] for r in led.state(at(9)).collect()} == {"done"}
     led.enqueue(spark.createDataFrame([("a", "2"), ("b", "1")], "key string, version string"), "run2", at(9))
     assert {(r["key"], r["version"]) for r in led.state(at(9)).filter("state = 'pending'").collect()} == {("a", "2")}
+
+
+def test_ledger_takes_up_reverted_versions(spark, tmp_path):
+    led = WorkLedger(spark, f"file://{tmp_path}/ledger")
+    item = lambda v: spark.createDataFrame([("a", v)], "key string, version string")
+    for n, v in enumerate(["1", "2", "1"]):
+        led.enqueue(item(v), f"e{n}", at(n))
+        leases = led.lease("w", f"l{n}", at(n), at(n + 0.5))
+        assert [(r["version"], r["token"]) for r in leases.collect()] == [(v, n + 1)]
+        assert led.complete(leases, f"d{n}", at(n)).count() == 1
+    led.enqueue(item("3"), "e3", at(4))
+    led.enqueue(item("4"), "e4", at(5))  # 3 was never taken up
+    assert {r["version"]: r["state"] for r in led.state(at(5)).filter("epoch > 2").collect()} == {"3": "superseded", "4": "pending"}
+
+
+def test_writes_that_broke_off_are_not_read(spark, tmp_path):
+    import os
+
+    led = WorkLedger(spark, f"file://{tmp_path}/ledger")
+    item = spark.createDataFrame([("a", "1")], "key string, version string")
+    led.enqueue(item, "run", at(0))
+    os.remove(tmp_path / "ledger/item/run/_SUCCESS")  # as if the write had been stopped
+    assert led.state(at(0)).count() == 0
+    assert led.enqueue(item, "run", at(0)).count() == 1 and led.state(at(0)).count() == 1
