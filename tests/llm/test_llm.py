@@ -258,6 +258,32 @@ def test_credentials_found_and_masked(spark):
     assert credentials.find_credentials([credentials.find_candidates(df.limit(0), "chunks", "id", "content", "symbol_path")]).count() == 0
 
 
+def test_words_and_long_values_as_credentials(spark):
+    words = ["correct-horse-battery-staple", "hunter", "wintermute"]
+    long = "A9" * 100
+    rows = [(i, f'db_password = "{v}"') for i, v in enumerate([*words, long])] + [(10, 'db_password = "changeme"'), (11, 'set(&token, "avatar")'), (12, f'name = "{long}"'), (13, "token: RawCanvas,")]
+    df = spark.createDataFrame(rows, "id long, content string").withColumn("path", F.lit(None).cast("string"))
+    got = credentials.find_credentials([credentials.find_candidates(df, "chunks", "id", "content", "path")])
+    assert {r["row_id"] for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_contents_of_one_id_are_masked_by_their_own_findings(spark):
+    rows = [(1, 'password = "hunter2Hunter9"\n'), (1, "def important(argument_one, argument_two)\n"), (1, 'x = 1\npassword = "Slate_harbor454"\n')]
+    df = spark.createDataFrame(rows, "id long, content string").withColumn("path", F.lit("a"))
+    found = credentials.find_credentials([credentials.find_candidates(df, "external_docs", "id", "content", "path")])
+    out = {r["content"] for r in credentials.redact(df, found, "external_docs", "id", "content").collect()}
+    assert out == {'password = "**************"\n', 'x = 1\npassword = "***************"\n'}
+
+
+def test_labels_are_for_training_only(monkeypatch):
+    import numpy as np
+
+    model = credentials.CredentialModel(np.log(np.full((30, 30), 1 / 30)), credentials._PRIOR)
+    before = model.score("quoted", "password", "hunter2Hunter9", "")
+    monkeypatch.setattr(credentials, "weak_label", None)
+    assert model.score("quoted", "password", "hunter2Hunter9", "") == before >= 0.5
+
+
 # ---------------------------------------------------------------- 7 hand-written files
 
 
