@@ -302,13 +302,52 @@ def test_file_classes(spark):
     files = [(1, "r/.gitattributes"), (2, "r/a/x.gen.py"), (3, "r/a/y.special"), (4, "r/b/.gitattributes"), (5, "r/b/z.special"), (6, "s/vendor/lib/a.py"), (7, "s/src/vendors.py"), (8, "s/src/marked.rs"), (9, "s/src/data.py"), (10, "s/web/app.js"), (11, "s/src/plain.go"), (12, None), (13, "s/src/nochunk.c"), (14, "s/package-lock.json"), (6, "s/vendor/lib/a.py")]
     data = "T = [\n" + "    1, 2, 3, 4, 5, 6,\n" * 80 + "]\n"
     chunks = [(1, 1, "*.special linguist-generated\n*.gen.py -linguist-generated", 1), (2, 4, "*.special -linguist-generated", 1), (3, 8, "// Code generated by tool. DO NOT EDIT.\nfn a() {}", 1), (4, 9, data, 1), (5, 10, "a=1;" * 400, 1), (6, 11, 'x = "Code generated by me"\n', 1), (7, 7, None, 1), (8, None, "x", 1), (3, 8, "// Code generated by tool. DO NOT EDIT.\nfn a() {}", 1)]
-    f = spark.createDataFrame([(i, p, None, None) for i, p in files], "id long, path string, language string, marked string")
+    f = spark.createDataFrame([(i, p, None, None, None) for i, p in files], "id long, path string, language string, size_bytes long, marked string")
     c = spark.createDataFrame(chunks, "id long, file_id long, content string, line_start int")
     got = {r["file_id"] for r in handwritten.classify_files(f, c).filter("not hand_written").collect()}
     assert got == {3, 6, 8, 9, 10, 14}  # 2 is declared hand-written, 5 by the nearer attribute file
     assert handwritten.classify_files(f.limit(0), c).count() == 0
 
 
+def test_declared_and_mined_patterns(spark):
+    """Each repository of a, b, c declares its own way that files of out/ and *.tpl.go come from a tool; d declares nothing."""
+    attributes = {"a": "**/out/** linguist-generated", "b": "src/x/out/* linguist-generated\n*.tpl.go linguist-generated", "c": "src/x/out/*.go linguist-generated=true"}
+    files, chunks, n = [], [], 0
+    for r in "abcd":
+        if r in attributes:
+            n += 1
+            files.append((n, f"{r}/.gitattributes", None, 10))
+            chunks.append((n, n, attributes[r], 1))
+        for k in range(4):
+            for path in (f"{r}/src/x/out/f{k}.go", f"{r}/src/y/g{k}.go", f"{r}/src/y/t{k}.tpl.go"):
+                n += 1
+                files.append((n, path, "go", 1000))
+                chunks.append((n, n, f"func f{k}() {{}}", 1))
+    more = [
+        ("a/sub/.gitattributes", "out/keep.go -linguist-generated\nout/free.go !linguist-generated\n*.data linguist-vendored\n/only.data -linguist-vendored"),
+        ("a/sub/out/keep.go", "func k() {}"), ("a/sub/out/free.go", "func k() {}"), ("a/sub/deep/only.data", "x"), ("a/sub/only.data", "x"), ("a/only.data", "x"),
+    ]
+    at = {}
+    for path, text in more:
+        n += 1
+        at[path] = n
+        files.append((n, path, None, None))
+        chunks.append((n, n, text, 1))
+    for k in range(10):  # scripts of 2 ** 17 bytes are minified; one of them has no chunks
+        n += 1
+        files.append((n, f"e/web/app{k}.js", "javascript", 140_000))
+        if k:
+            chunks.append((n, n, "a=1;" * 400, 1))
+    f = spark.createDataFrame(files, "id long, path string, language string, size_bytes long")
+    c = spark.createDataFrame(chunks, "id long, file_id long, content string, line_start int")
+    rows = {r["path"]: r for r in handwritten.classify_files(f, c).collect()}
+    tool = {p for p, r in rows.items() if not r["hand_written"]}
+    want = {f"{r}/src/x/out/f{k}.go" for r in "abcd" for k in range(4)} | {f"b/src/y/t{k}.tpl.go" for k in range(4)} | {f"e/web/app{k}.js" for k in range(10)}
+    assert tool == want | {"a/sub/deep/only.data"}
+    assert rows["d/src/x/out/f0.go"]["reasons"] == ["mined"] and rows["e/web/app0.js"]["reasons"] == ["mined"]
+    assert "declared" in rows["b/src/y/t0.tpl.go"]["reasons"] and rows["a/sub/out/keep.go"]["hand_written"]
+
+
 # ---------------------------------------------------------------- 8 tokens
 
 
