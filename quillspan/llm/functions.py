@@ -8,8 +8,10 @@ the language puts it, and empty, trivial and template documentation is dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ GRAMMAR: Grammar = {
     "HEAD": [("PY",), ("RUBY",), ("RUST",), ("GO",), ("JSFN",), ("ARROW",), ("TYPED",), ("METHOD",)],
     "PARAMS": [("PAREN",), ("!", "OPEN", "JUNK")],
     "JUNK": [(), ("JUNKONE", "JUNK")],
-    "JUNKONE": [("NAME",), ("PAREN",), ("BRACK",), (":",), (",",), ("=",), ("*",), ("&",), (".",), ("LIT",), ("NL",), ("ANGLE",), ("?",), ("|",), ("->",)],
+    "JUNKONE": [("NAME",), ("PAREN",), ("BRACK",), (":",), (",",), ("=",), ("*",), ("&",), (".",), ("LIT",), ("NL",), ("ANGLE",), ("?",), ("|",), ("->",), ("X",), ("const",), ("struct",), ("fn",), ("!sign",)],
     # def name(...) -> type:
     "PY": [("async", "PYDEF"), ("PYDEF",)],
     "PYDEF": [("def", "#NAME", "GENERIC", "PARAMS", "PYTYPE", ":")],
@@ -87,8 +89,14 @@ _STATEMENT = frozenset(
     " del global print typeof delete void0 loop chan map range fallthrough break continue finally pass lambda namespace using template".split()
 )
 
+#: Of the words above those that may be the name of a method before its parameters.
+_METHOD_WORDS = frozenset("get set delete default final native map chan range print loop begin end del pass global type".split())
+#: Words after which any word is a name; those that types are made of, and what stands before a type.
+_DEFINERS = frozenset("def fn func function".split())
+_TYPE_WORDS = frozenset("impl dyn map chan interface type for range typeof template use".split())
+_BEFORE_TYPE = frozenset("PAREN -> NAME & * BRACK ANGLE : , = X | where".split())
+
 _TOKEN = re.compile(r"[^\W\d]\w*|\n|->|=>|[()\[\]{}<>:;=.,&*?!|@]|\x01+|\d[\w.]*|[^\s\w]")
-_CLOSERS = {"(": ")", "[": "]"}
 
 
 @lru_cache(maxsize=1)
@@ -96,43 +104,49 @@ def _recogniser() -> Recogniser:
     return Recogniser(GRAMMAR, "HEAD")
 
 
-def _balanced(text: str, at: int, limit: int = 20000) -> int:
-    """Place after the bracket group that begins at ``at``, or -1 if it is never closed."""
-    depth = 0
-    for m in _BRACKET.finditer(text, at, min(len(text), at + limit)):
-        if m.group() in "([{":
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0:
-                return m.end()
-    return -1
-
-
 _BRACKET = re.compile(r"[()\[\]{}]")
 _ANGLE = re.compile(r"<[^<>;{}()\n]*(?:<[^<>;{}()\n]*(?:<[^<>;{}()\n]*>[^<>;{}()\n]*)*>[^<>;{}()\n]*)*>")
 
 
-def head_tokens(text: str, at: int) -> tuple[list[str], list[int], list[int]]:
-    """Kinds, begins and ends of the tokens from ``at`` to the sign that can end a head."""
+def bracket_ends(text: str) -> dict[int, int]:
+    """Place after each bracket group of the text, by its begin; groups that are never closed are missing. A
+    bracket closes the nearest open one, whatever its kind."""
+    open_at: list[int] = []
+    out: dict[int, int] = {}
+    for m in _BRACKET.finditer(text):
+        if m.group() in "([{":
+            open_at.append(m.start())
+        elif open_at:
+            out[open_at.pop()] = m.end()
+    return out
+
+
+def head_tokens(text: str, at: int, ends_of: dict[int, int], heads: set[int], hashed: bool) -> tuple[list[str], list[int], list[int]]:
+    """Kinds, begins and ends of the tokens from ``at`` to the sign that ends a head: a brace, a semicolon, an arrow,
+    a word that begins a statement, the begin of the next head, or, in languages with ``def``, the colon or the
+    end of the line."""
     kinds: list[str] = []
     begins: list[int] = []
     ends: list[int] = []
-    i, newlines = at, 0
+    i = at
     match = _TOKEN.search
-    while len(kinds) < 60:
+    opened = False
+    while True:
         m = match(text, i)
         if m is None:
             kinds.append("NL")
             begins.append(len(text))
             ends.append(len(text))
             break
+        if kinds and m.start() in heads:
+            break
         t, i = m.group(), m.end()
         stop = False
+        last = kinds[-1] if kinds else ""
         if t == "(" or t == "[":
-            end = _balanced(text, m.start())
+            end = ends_of.get(m.start(), -1)
             if end < 0:
-                k = "OPEN"
+                k, opened = "OPEN", True
             else:
                 k, i = ("PAREN" if t == "(" else "BRACK"), end
         elif t == "<":
@@ -143,14 +157,20 @@ def head_tokens(text: str, at: int) -> tuple[list[str], list[int], list[int]]:
                 k = "X"
         elif t == "\n":
             k = "NL"
-            newlines += 1
-            stop = newlines > 12
+            stop = hashed and not opened
         elif t[0] == "\x01" or t[0].isdigit():
             k = "LIT"
-        elif t in _STATEMENT:
-            break
-        elif t in _KEYWORDS:
-            k = t
+        elif t in _STATEMENT or t in _KEYWORDS:
+            if last in _DEFINERS or hashed and last == "." or t in _METHOD_WORDS and text.startswith("(", i):
+                k = "NAME"
+            elif t in _KEYWORDS:
+                k = t
+            elif t in _TYPE_WORDS and last in _BEFORE_TYPE:
+                k = "NAME"
+                if text.startswith("{}", i):
+                    i += 2
+            else:
+                break
         elif t[0] == "_" or t[0].isalpha():
             k = "NAME"
         elif t == "!":
@@ -158,7 +178,7 @@ def head_tokens(text: str, at: int) -> tuple[list[str], list[int], list[int]]:
         elif t == "{" or t == ";":
             k, stop = t, True
         elif t in (":", "=", ".", ",", "&", "*", "?", "|", "@", "->", "=>"):
-            k, stop = t, t == "=>"
+            k, stop = t, t == "=>" or hashed and t == ":" and not opened
         else:
             k = "X"
         kinds.append(k)
@@ -175,12 +195,16 @@ _HASHED = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]", re.M)
 _MASK_HASH = re.compile(r'(?:[rRbBuUfF]{0,2})("""|\'\'\').*?(?:\1|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?|#[^\n]*', re.S)
 _MASK_SLASH = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.[^\'\n]{0,8}|[^\'\\\n]+)\'|`(?:\\.|[^`\\])*`?', re.S)
 _FIRST_HASH = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?=\w)", re.M)
+_GROUP = r"\([^;{}()]*+\)"
+for _ in range(5):  # groups within groups, without going back
+    _GROUP = r"\((?:[^;{}()]|" + _GROUP + r")*+\)"
 _FIRST_SLASH = re.compile(
     r"^[ \t]*(?=[A-Za-z_@#*$\[])(?!(?:if|else|for|while|switch|match|select|do|try|catch|return|new|throw|await|go|defer|case|import|use|class|impl|type|struct\s+\w+\s*\{)\b)"
-    r"(?=[^\n;]*?(?:\b(?:fn|func|function)\b|=>|\w[ \t]*(?:<[^\n;()]*>)?\((?:[^;{}]*\)[^;{}=()\n]*(?:\([^;{}()\n]*\))?[^;{}=()\n]*\n?[ \t]*\{|[^;{}()]*\Z)|=[ \t]*(?:async[ \t]*)?\())",
+    r"(?=[^\n;]*?(?:\b(?:fn|func|function)\b|=>|\w[ \t]*(?:<[^\n;()]*>)?(?:" + _GROUP + r"[^;{}=()\n]*+(?:\([^;{}()\n]*+\)[^;{}=()\n]*+)?\n?[ \t]*\{|\([^;{}()]*+\Z)|=[ \t]*(?:async[ \t]*)?\())",
     re.M,
 )
 
+_BLANKS = re.compile(r"[ \t]*")
 _NOTE = re.compile(r"^\s*(?://|#|/\*|--)\s*(?:file|path|in|module|source)\s*:\s*\S*[/\\.]\S*.*$", re.I)
 _ANNOTATION = re.compile(r"^\s*(?:@\w|#!?\[|\[\[)")
 
@@ -233,26 +257,89 @@ def _comment_above(lines: list[str], row: int, hashed: bool) -> str | None:
     return "\n".join(kept) if kept else None
 
 
-def extract_functions(content: str | None) -> list[tuple[str, str | None]]:
-    """(name, documentation in its place or None) of every function with a body, in text order."""
+_DEF_LINE = re.compile(r"[^\n]*\n?")
+
+
+def _indented_end(text: str, start: int, at: int) -> int:
+    """End of the body of a function of a language with ``def`` whose head begins at ``start`` and whose body begins at
+    ``at``: up to the first line that is indented no deeper, an ``end`` of the same depth included."""
+    depth = len(text[text.rfind("\n", 0, start) + 1 : start].expandtabs(8))
+    stop = at
+    first = text.find("\n", at)
+    if first < 0:
+        return len(text)
+    at = first + 1
+    stop = at
+    while at < len(text):
+        m = _DEF_LINE.match(text, at)
+        line = m.group()
+        body = line.lstrip(" \t\n\x01")
+        if body.strip():
+            own = len(line[: len(line) - len(line.lstrip(" \t"))].expandtabs(8))
+            if own <= depth:
+                if own == depth and re.match(r"end\b", body):
+                    stop = m.end()
+                break
+            stop = m.end()
+        elif "\x01" in line:
+            stop = m.end()  # a string or comment that goes on
+        at = m.end()
+    return stop
+
+
+def _braced_end(text: str, at: int, ends_of: dict[int, int], heads: list[int], start: int) -> int:
+    """End of the body that begins with the brace or expression at ``at``. One that is never closed, in a broken or cut
+    text, ends before the next head that is indented no deeper than its own, or with the text."""
+    if at < len(text) and text[at] == "{":
+        end = ends_of.get(at, -1)
+        if end >= 0:
+            return end
+        depth = start - text.rfind("\n", 0, start)
+        for h in heads:
+            if h > at and h - text.rfind("\n", 0, h) <= depth:
+                stop = text.rfind("\n", 0, h) + 1
+                while stop > at:  # the comment above it is not part of the body
+                    above = text.rfind("\n", 0, stop - 1) + 1
+                    if text[above:stop].strip(" \t\n\x01"):
+                        break
+                    stop = above
+                return stop
+        return len(text)
+    i = at
+    while i < len(text):  # the expression of an arrow function
+        c = text[i]
+        if c in "([{":
+            i = ends_of.get(i, len(text))
+            continue
+        if c in ";,)]}" or c == "\n" and text[at:i].strip():
+            return i
+        i += 1
+    return i
+
+
+def extract_functions(content: str | None) -> list[tuple[str, str | None, str]]:
+    """(name, documentation in its place or None, source) of every function with a body, in text order."""
     if not content:
         return []
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     hashed = _HASHED.search(text) is not None
     first = _FIRST_HASH if hashed else _FIRST_SLASH
     masked = (_MASK_HASH if hashed else _MASK_SLASH).sub(_blank, text)
-    heads = [m.end() for m in first.finditer(masked)]
-    if not heads:
+    starts = [masked.rfind("\n", 0, m.end()) + 1 for m in first.finditer(masked)]
+    if not starts:
         return []
-    out: list[tuple[str, str | None]] = []
-    lines: list[str] | None = None
+    begins_at = [_BLANKS.match(masked, x).end() for x in starts]
+    heads = set(begins_at)
+    ends_of = bracket_ends(masked)
+    out: list[tuple[str, str | None, str]] = []
+    lines: list[str] = []
+    at_line: list[int] = []
     parse = _recogniser().parse
     done = -1
-    for at in heads:
-        start = masked.rfind("\n", 0, at) + 1
+    for start, begin in zip(starts, begins_at, strict=True):
         if start < done:
             continue
-        kinds, begins, ends = head_tokens(masked, start)
+        kinds, begins, ends = head_tokens(masked, begin, ends_of, heads, hashed)
         got = parse(kinds)
         if got is None or got[2] < 0:
             continue
@@ -261,17 +348,21 @@ def extract_functions(content: str | None) -> list[tuple[str, str | None]]:
         end = ends[stop - 1]
         done = max(done, begins[stop - 1])
         last = kinds[stop - 1]
-        doc = None
         if hashed and last == ":":
-            rest = masked[end:]
-            if not rest.strip():
+            if not masked[end:].strip():
                 continue  # a head without a body
             doc = _python_doc(text, end)
+            close = _indented_end(masked, begin, end)
         else:
-            if lines is None:
+            if not lines:
                 lines = text.split("\n")
-            doc = _comment_above(lines, text.count("\n", 0, start), hashed)
-        out.append((name, doc))
+                at_line = list(accumulate((len(x) + 1 for x in lines), initial=0))
+            doc = _comment_above(lines, bisect_right(at_line, start) - 1, hashed)
+            if hashed:
+                close = _indented_end(masked, begin, min(end, len(masked)) - 1 if last == "NL" else end)
+            else:
+                close = _braced_end(masked, begins[stop - 1] if last == "{" else end, ends_of, begins_at, begin)
+        out.append((name, doc, text[start:close].rstrip()))
     return out
 
 
@@ -322,8 +413,24 @@ def _forms(w: str) -> set[str]:
     return out
 
 
-def described(doc: str | None, name: str) -> str | None:
-    """The words of the documentation that say what the function does, or None if there are none.
+_DIGITS = re.compile(r"\d+")
+_SPACE = re.compile(r"\s+")
+
+
+def template_of(text: str, name: str) -> str:
+    """A description without what differs between the uses of a template: case, white space, numbers, and the name of
+    the function, as it is and in words."""
+    low = _SPACE.sub(" ", text.lower()).strip(" .!:*-")
+    parts = [p.lower() for p in _SPLIT.findall(name)]
+    for own in (name.lower(), " ".join(parts), "_".join(parts)):
+        if len(own) > 2:
+            low = low.replace(own, "\x00")
+    return _DIGITS.sub("0", low)
+
+
+def described(doc: str | None, name: str, phrases: bool = True) -> str | None:
+    """The words of the documentation that say what the function does, or None if there are none. Without
+    ``phrases`` the fixed lists of placeholders are not looked at: they are left to the counts of templates.
 
     Marks, tags and their lists, sections of parameters, directives to tools, notices of licence, code,
     rulers, placeholders and the function's own name in words are no description."""
@@ -366,13 +473,13 @@ def described(doc: str | None, name: str) -> str | None:
     text = " ".join(kept).strip()
     if not text:
         return None
-    lead = _TODO.match(text)
+    lead = _TODO.match(text) if phrases else None
     if lead:
         text = text[lead.end() :]
         if re.match(r"(?i)\W*$|(?:document|write|describe|add|explain|fill|rename)\b[^.]*\W*$", text):
             return None
         text = re.sub(r"(?i)^(?:rename|document|refactor|clean ?up)\.\s*", "", text)
-    if _PLACEHOLDER.match(text.strip(" .*-_")) or _PLACEHOLDER.match(text):
+    if phrases and (_PLACEHOLDER.match(text.strip(" .*-_")) or _PLACEHOLDER.match(text)):
         return None
     if sum(bool(_CODE.search(x)) for x in kept) * 2 > len(kept) or len(_CODE_MARK.findall(text.replace(name, ""))) * 4 >= len(text.split()):
         return None
@@ -387,7 +494,10 @@ def described(doc: str | None, name: str) -> str | None:
     return text
 
 
-_TESTS = re.compile(r"^\s*test\s*$", re.I)
+#: A description is a template if functions of so many names have it and it makes up this share of all pairs.
+TEMPLATE_LEAST = 12
+TEMPLATE_SHARE = 0.0015
+BROADCAST_TEMPLATES = 100_000
 
 
 def documented_functions(
@@ -397,44 +507,57 @@ def documented_functions(
     doc_col: str = "doc_comment",
     kind_col: str = "kind",
     symbol_col: str = "symbol_path",
-    template_share: float = 0.003,
-    template_least: int = 20,
+    template_share: float = TEMPLATE_SHARE,
+    template_least: int = TEMPLATE_LEAST,
+    code: bool = True,
+    phrases: bool = True,
 ) -> DataFrame:
-    """(chunk_id, func_name, code_doc) of each documented function, once.
+    """(chunk_id, func_name, code_doc, code) of each documented function, once; ``code`` is its source from the
+    head to the end of the body, left out if not ``code``.
 
     Chunks of kind ``test`` (in any case, blanks aside) are left out; a null kind is no test.
     Documentation is the comment above the function or its docstring, else ``doc_comment`` for the
-    function that is the last part of the chunk's symbol path. A description that functions of at least
-    ``template_least`` different names have, and that makes up ``template_share`` of all pairs, is a
-    template and dropped: a share, so that a larger corpus doesn't lose what a smaller one keeps.
-
-    Null ids and contents give nothing; empty contents have no function; repeated rows count once; texts
-    of any length are parsed whole, a head costs its own length; other columns are ignored; an empty
-    table gives no rows."""
+    function that is the last part of the chunk's symbol path. A description that, but for the name of the
+    function and numbers, functions of at least ``template_least`` different names have, and that makes up
+    ``template_share`` of all pairs, is a template and dropped: a share, so that a larger corpus doesn't lose
+    what a smaller one keeps. ``phrases``: of what the counts leave, fixed lists of placeholders are dropped too, for
+    the rare ones and for small corpora.
+
+    Null ids and contents give nothing; empty contents have no function; repeated rows count once; of several
+    functions of one name in a chunk the least description stands, with its source; texts of any length are
+    parsed whole, a head costs its own length; other columns are ignored; an empty table gives no rows."""
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(content_col).alias("content"), F.col(doc_col).alias("doc"), F.element_at(F.split(F.col(symbol_col), "::|\\.|#"), -1).alias("symbol")
     ).filter(F.col("id").isNotNull() & F.col("content").isNotNull() & (F.lower(F.trim(F.coalesce(F.col(kind_col), F.lit("")))) != "test"))
     # a function head and a place for documentation, or there is nothing to find
-    rows = rows.filter(F.col("content").rlike(r"\b(?:def|fn|func|function)\b|=>|\)[^;]{0,200}\{"))
+    rows = rows.filter(F.col("content").rlike(r"\b(?:def|fn|func|function)\b|=>|\)[^;{})]*+\{"))
     rows = rows.filter((F.length(F.trim("doc")) > 0) | F.col("content").rlike(r"//|#|/\*|\"\"\"|'''|(?m)^[ \t]*[rRuU]?[\"']"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names, docs = [], [], []
+            ids, names, docs, template, listed, source = [], [], [], [], [], []
             for i, content, doc, symbol in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for name, own in extract_functions(content):
-                    text = described(own, name)
-                    if text is None and name == symbol:
-                        text = described(doc, name)
-                    if text is not None:
+                for name, own, body in extract_functions(content):
+                    places = [own, doc] if name == symbol else [own]
+                    text = next((t for p in places if (t := described(p, name))), None)
+                    raw = text or next((t for p in places if (t := described(p, name, False))), None)
+                    if raw is not None:
                         ids.append(i)
                         names.append(name)
-                        docs.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(docs, pa.string())], ["chunk_id", "func_name", "code_doc"])
-
-    found = rows.mapInArrow(run, "chunk_id long, func_name string, code_doc string")
-    found = materialize(found.withColumn("h", F.xxhash64(F.lower(F.regexp_replace("code_doc", r"\s+", " ")))), "functions")
+                        docs.append(raw)
+                        template.append(template_of(raw, name))
+                        listed.append(text is None)
+                        source.append(body if code else None)
+            cols = [pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in (names, docs, template)), pa.array(listed, pa.bool_()), pa.array(source, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk_id", "func_name", "code_doc", "template", "listed", "code"])
+
+    found = rows.mapInArrow(run, "chunk_id long, func_name string, code_doc string, template string, listed boolean, code string")
+    found = materialize(found.withColumn("h", F.xxhash64("template")).drop("template"), "functions")
     per = found.select("h", "func_name").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("func_name", 0.02).alias("names"))
     total = found.count()
-    template = per.filter((F.col("names") >= template_least) & (F.col("c") >= max(1.0, template_share * total))).select("h")
-    return found.join(template, "h", "left_anti").groupBy("chunk_id", "func_name").agg(F.min("code_doc").alias("code_doc"))
+    template = materialize(per.filter((F.col("names") >= template_least) & (F.col("c") >= max(1.0, template_share * total))).select("h"), "templates")
+    if template.count() <= BROADCAST_TEMPLATES:  # at most 1 / template_share of them
+        template = F.broadcast(template)
+    kept = (found.filter("not listed") if phrases else found).join(template, "h", "left_anti")
+    out = kept.groupBy("chunk_id", "func_name").agg(F.min(F.struct("code_doc", "code")).alias("m"))
+    return out.select("chunk_id", "func_name", "m.code_doc", *(["m.code"] if code else []))

@@ -24,7 +24,7 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_pairs(spark, d).select("chunk_id", "func_name")
+    return functions.documented_functions(table(spark, d, "chunks"), code=False).select("chunk_id", "func_name")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

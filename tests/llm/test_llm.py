@@ -73,7 +73,7 @@ CASES = [
 
 @pytest.mark.parametrize("text, want", CASES)
 def test_functions_are_found_with_their_documentation(text, want):
-    assert [(n, functions.described(d, n) is not None) for n, d in functions.extract_functions(text)] == want
+    assert [(n, functions.described(d, n) is not None) for n, d, _ in functions.extract_functions(text)] == want
 
 
 @pytest.mark.parametrize(
@@ -94,9 +94,50 @@ def test_documented_functions_rows(spark):
     df = spark.createDataFrame(rows, "id long, content string, doc_comment string, kind string, symbol_path string, func_name string")
     got = functions.documented_functions(df)
     assert {(r["chunk_id"], r["func_name"]) for r in got.collect()} == {(1, "f"), (3, "g")}
+    assert {r["code"] for r in got.collect()} == {t.rstrip(), "def g(x):\n    return x"}
     assert functions.documented_functions(df.limit(0)).count() == 0
 
 
+def test_templates_fall_by_their_counts(spark):
+    # no phrase is in a list here: what many functions of different names say is dropped, what copies say is kept
+    names = [f"job_{chr(97 + k)}{chr(97 + k % 7)}x" for k in range(26)]
+    rows = [(i, f"/// Handles {n} as needed in case {i}.\nfn {n}() {{\n}}\n/// Waits for door {'abcdefgh'[i % 8]} to close.\nfn wait{i}() {{\n}}\n") for i, n in enumerate(names)]
+    rows += [(100 + i, "/// Counts what is left over.\nfn same() {\n}\n") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, content string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("doc_comment", "kind", "symbol_path")))
+    got = {r["func_name"] for r in functions.documented_functions(df, phrases=False).collect()}
+    assert got == {"same"} | {f"wait{i}" for i in range(26)}
+
+
+SOURCES = [
+    ("def f(\n    a,\n):\n    '''Adds.'''\n    if a:\n        return '''x\ny'''\n    return 1\n\nx = 1\n", "f", "return 1"),
+    ("# Adds.\ndef f(a)\n  a.each do |x|\n    x\n  end\nend\n\ndef g\nend\n", "f", "end"),
+    ("/// Adds.\npub fn f(a: u8) -> impl Fn(u8) -> u8 {\n    let s = \"}\";\n    if a { 1 }\n}\nstruct X;\n", "f", "    if a { 1 }\n}"),
+    ("// Adds.\nfunc f(m map[string]int, c chan int) interface{} {\n\treturn m\n}\nvar x = 1\n", "f", "return m\n}"),
+    ("/** Adds. */\nconst f = (a, b) =>\n  a + g(b, {c: 1});\nlet x;\n", "f", "{c: 1})"),
+    ("/** Adds. */\nfunction f(a) {\n  g((a;\n  if (a) {\n\n/** Takes. */\nfunction h(b) {\n  return b;\n}\n", "f", "if (a) {"),
+    ("/** Adds. */\nfunction get(" + ", ".join(f"a{i}: Map<string, number>" for i in range(200)) + "): void {\n  return;\n}\n", "get", "return;\n}"),
+    ("/// Adds.\nfn default(\n" + "    a: u8,\n" * 40 + ") -> Self\nwhere\n    T: A + B<u8>,\n" + "    U: C,\n" * 30 + "{\n    x\n}\n", "default", "    x\n}"),
+    ("class A:\n    def get(self, k):\n        '''Adds.'''\n        return k\n    def set(self, k):\n        pass\n", "get", "return k"),
+    ("/** Adds. */\nfunction f(a = '" + "x" * 30_000 + "', b = [" + "1, " * 10_000 + "]) {\n}\n", "f", "{\n}"),
+]
+
+
+@pytest.mark.parametrize("text, name, end", SOURCES)
+def test_sources_of_functions(text, name, end):
+    found = functions.extract_functions(text)
+    assert found[0][0] == name and found[0][2].endswith(end) and name in found[0][2].split("(")[0]
+
+
+def test_long_broken_texts_cost_their_length():
+    import time
+
+    began = time.time()
+    functions.extract_functions("function f(a, (b\n" * 20_000)
+    functions.extract_functions("def f(a, (b\n" * 20_000)
+    functions.extract_functions("f(" * 50_000 + "\n" + "g (a) " * 20_000)
+    assert time.time() - began < 60
+
+
 # ---------------------------------------------------------------- 4 items that appear together
 
 
