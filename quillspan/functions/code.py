@@ -130,6 +130,31 @@ def estimate_tokens(content: Column) -> Column:
     return F.when(content.isNull(), 0).otherwise(F.greatest(F.lit(1), F.floor(F.octet_length(content) / 4))).cast("int")
 
 
+def is_flow(kind: Column) -> Column:
+    """Whether a dependency carries data, errors or types."""
+    return kind.isin("data_flow", "error_flow", "type_flow")
+
+
+def cut_to_tokens(content: Column, most: int) -> Column:
+    """The content up to 4 * most characters, back to the last line feed if it was cut and has one."""
+    c = F.substring(content, 1, 4 * most)
+    last = F.length(c) - F.instr(F.reverse(c), "\n")
+    return F.when(F.length(content) <= 4 * most, content).when(F.instr(c, "\n") > 0, F.substring(c, F.lit(1), last)).otherwise(c)
+
+
+def subject_of(name: Column) -> Column:
+    """What a function is about: its name without the verb it begins with, in words."""
+    verbs = "|".join(["get", "fetch", "set", "update", "create", "new", "delete", "remove", "validate", "check", "parse", "decode", "format", "encode", "handle", "process", "is", "has", "to", "from"])
+    return F.concat(F.translate(F.regexp_replace(F.lower(name), f"^(?:{verbs})_", ""), "_", " "), F.lit(" data"))
+
+
+def hunk_header(line: Column) -> list[Column]:
+    """start_line and line_count of the new side of a hunk header; a count that isn't given is 1."""
+    start = F.regexp_extract(line, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
+    count = F.regexp_extract(line, r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@", 1)
+    return [F.when(start != "", start.cast("int")).alias("start_line"), F.when(count != "", count.cast("int")).otherwise(1).alias("line_count")]
+
+
 def plain_space(content: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(content, r"\s+", " ")), r"^ | $", "")
 

@@ -80,3 +80,9 @@ def newest_per_file(commits: DataFrame, commit_files: DataFrame, n: int) -> Data
 def top_authors(commits: DataFrame, commit_files: DataFrame, path: str, history: int = 100, limit: int = 5) -> DataFrame:
     newest = commits.join(commit_files.filter(F.col("path") == path).select("hash"), "hash").orderBy(F.col("ts").desc_nulls_last(), "hash").limit(history)
     return newest.groupBy("author").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("author").asc_nulls_first()).limit(limit)
+
+
+def pair_frequency(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(x, y, freq) of the pairs asked for (x, y), in any order; 0 for those that never changed together."""
+    key = asked.select("x", "y", F.least("x", "y").alias("path_a"), F.greatest("x", "y").alias("path_b"))
+    return key.join(pairs, ["path_a", "path_b"], "left").select("x", "y", F.coalesce("freq", F.lit(0)).alias("freq"))

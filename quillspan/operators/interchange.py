@@ -27,3 +27,11 @@ def import_statistics(docs: DataFrame, json_col: str) -> DataFrame:
     x = docs.select(F.from_json(F.col(json_col), SYMBOL_SCHEMA).alias("d"))
     bad = F.col("d.relative_path").isNull() | (F.col("d.relative_path") == "")
     return x.agg(F.count(F.when(~bad, 1)).alias("documents"), F.coalesce(F.sum(F.when(~bad, F.size("d.symbols"))), F.lit(0)).alias("symbols"), F.count(F.when(bad, 1)).alias("errors"))
+
+
+def symbol_parts(symbol: Column) -> list[Column]:
+    """path and name of a symbol as ``symbol_string`` writes it; null for any other text."""
+    quoted, plain = r"^local \. (.*?)/`((?:[^`]|``)*)`\.$", r"^local \. (.*)/([\w+\-$]+)\.$"
+    is_quoted, is_plain = symbol.rlike(quoted), symbol.rlike(plain)
+    part = lambda n, change: F.when(is_quoted, change(F.regexp_extract(symbol, quoted, n))).when(is_plain, F.regexp_extract(symbol, plain, n))
+    return [part(1, lambda c: c).alias("path"), part(2, lambda c: F.replace(c, F.lit("``"), F.lit("`"))).alias("name")]

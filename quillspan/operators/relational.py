@@ -107,3 +107,8 @@ def keep_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     """New chunks with the vector of the old chunk of the same symbol path and content hash."""
     o = first_per(old.select("symbol_path", "content_hash", F.col("vector_id").alias("old_vector")), ["symbol_path", "content_hash"], F.col("old_vector").asc_nulls_last())
     return new.drop("vector_id").join(o, ["symbol_path", "content_hash"], "left").withColumnRenamed("old_vector", "vector_id")
+
+
+def replace_files(rows: DataFrame, new: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
+    """``rows`` with those of the files (column ``key``) replaced by ``new``; a file without new rows has none left."""
+    return rows.join(files.select(key).distinct(), key, "left_anti").unionByName(new)
