@@ -93,8 +93,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = subjects.fit_rules(docs, table(spark, d, "doc_subject_labels"), table(spark, d, "subject_areas"))
-    return subjects.classify(docs, model)
+    lines = subjects.lines_of(docs)
+    model = subjects.fit_rules(docs, table(spark, d, "doc_subject_labels"), table(spark, d, "subject_areas"), lines=lines)
+    return subjects.classify_lines(lines, model)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

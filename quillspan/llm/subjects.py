@@ -14,9 +14,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.sampling import bounded_sample
@@ -104,6 +106,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield b.slice(at, rows)
 
 
+def _known_items(column: pa.Array, known: pa.Array) -> list[list[str]]:
+    """Per row the items that are in ``known``; only those become Python objects."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(column) else column.values
+    offsets = offsets - offsets[0] if len(offsets) else offsets
+    hit = pc.is_in(flat, value_set=known).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(hit)])[offsets]
+    found = flat.filter(pa.array(hit)).to_pylist()
+    return [found[a:b] for a, b in zip(before.tolist(), before[1:].tolist(), strict=False)]
+
+
 def _plain(c: str):  # noqa: ANN202
     return F.regexp_replace(F.lower(F.trim(F.col(c))), r"[\s\-]+", "_")
 
@@ -117,6 +130,10 @@ class RuleModel:
         for left, subject, confidence in rules:
             self.by_term[left[0]].append((frozenset(left), subject, confidence))
 
+    def known(self) -> pa.Array:
+        """All terms of the rules."""
+        return pa.array(sorted({t for left, _, _ in self.rules for t in left}), pa.string())
+
     def evidence(self, items: list[str]) -> dict[str, float]:
         """Per subject 1 - the product of (1 - confidence) over the matched rules that share no term."""
         have = set(items)
@@ -197,11 +214,13 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     few = chosen.count()
     if not few:
         return []
-    sel = rows.sparkSession.sparkContext.broadcast({r["item"] for r in chosen.collect()} if few <= BROADCAST_TERMS else None)
+    sel = rows.sparkSession.sparkContext.broadcast(sorted(r["item"] for r in chosen.collect()) if few <= BROADCAST_TERMS else None)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 1000):
-            items = [[*(i if sel.value is None else (x for x in i if x in sel.value)), CLASS + s] for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        known = None if sel.value is None else pa.array(sel.value, pa.string())
+        for b in _slices(batches, 20_000):
+            own = b.column(0).to_pylist() if known is None else _known_items(b.column(0), known)
+            items = [[*i, CLASS + s] for i, s in zip(own, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in items if len(x) > 1], pa.list_(pa.string()))], ["items"])
 
     baskets = rows.select("items", "subject")
@@ -227,25 +246,9 @@ def _mine(rows: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
-def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Rules from about FIT_DOCUMENTS labelled documents at most and all others.
-
-    First every sentence of a labelled document is held to be on each of its subjects. The rules so found
-    give subjects to the documents without labels, in which rarer terms are found the same way, and
-    then to each sentence; the rules are mined again from that, so that sentences on a second subject,
-    passing mentions and wrong labels no longer weigh. One labelled document in five is kept out to choose
-    the threshold, that of the best F1 of the documents' subjects. Labels are compared in plain spelling;
-    labels of unknown documents or subjects don't count; without labels there are no rules."""
-    lab = labels.select(F.col(id_col).cast("long").alias("id"), _plain("subject").alias("subject")).dropna().distinct()
-    if subjects is not None:
-        lab = lab.join(subjects.select(_plain("subject").alias("subject")).distinct(), "subject", "left_semi")
+def lines_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, no, items) of every sentence of the documents, whole texts, written once; null ids and texts have none."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    labelled = materialize(docs.select("id").join(lab.select("id").distinct(), "id", "left_semi").distinct(), "rule-labelled")
-    known = materialize(bounded_sample(labelled, FIT_DOCUMENTS, "id"), "rule-ids")
-    beyond = labelled.join(F.broadcast(known), "id", "left_anti")
-    left_out = beyond.count()
-    if left_out:
-        docs = docs.join(F.broadcast(beyond) if left_out <= BROADCAST_IDS else beyond, "id", "left_anti")
     # the documents may come from few files: spread them over all cores
     spark = documents.sparkSession
     texts = docs.repartition(max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
@@ -260,7 +263,32 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
                     items.append(terms(s))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(items, pa.list_(pa.string()))], ["id", "no", "items"])
 
-    lines = materialize(texts.select("id", "text").mapInArrow(run, "id long, no int, items array<string>"), "rule-sentences")
+    return materialize(texts.select("id", "text").mapInArrow(run, "id long, no int, items array<string>"), "rule-sentences")
+
+
+def fit_rules(
+    documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None
+) -> RuleModel:
+    """Rules from about FIT_DOCUMENTS labelled documents at most and all others; ``lines``: the sentences of
+    the documents if they are at hand (``lines_of``).
+
+    First every sentence of a labelled document is held to be on each of its subjects. The rules so found
+    give subjects to the documents without labels, in which rarer terms are found the same way, and
+    then to each sentence; the rules are mined again from that, so that sentences on a second subject,
+    passing mentions and wrong labels no longer weigh. One labelled document in five is kept out to choose
+    the threshold, that of the best F1 of the documents' subjects. Labels are compared in plain spelling;
+    labels of unknown documents or subjects don't count; without labels there are no rules."""
+    lab = labels.select(F.col(id_col).cast("long").alias("id"), _plain("subject").alias("subject")).dropna().distinct()
+    if subjects is not None:
+        lab = lab.join(subjects.select(_plain("subject").alias("subject")).distinct(), "subject", "left_semi")
+    lines = lines if lines is not None else lines_of(documents, id_col, text_col)
+    ids = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).isNotNull().alias("some")).filter("id is not null and some").select("id")
+    labelled = materialize(ids.join(lab.select("id").distinct(), "id", "left_semi").distinct(), "rule-labelled")
+    known = materialize(bounded_sample(labelled, FIT_DOCUMENTS, "id"), "rule-ids")
+    beyond = labelled.join(F.broadcast(known), "id", "left_anti")
+    left_out = beyond.count()
+    if left_out:
+        lines = lines.join(F.broadcast(beyond) if left_out <= BROADCAST_IDS else beyond, "id", "left_anti")
     lab = materialize(lab.join(F.broadcast(known), "id", "left_semi"), "rule-labels")
     rough = RuleModel(prune(_mine(lines.join(lab, "id").select("id", "items", "subject"))), 0.4)
 
@@ -269,8 +297,9 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = RuleModel.loads(dumped)
-            for b in _slices(batches, 1000):
-                got = [m.subject(x) or "-" for x in b.column(2).to_pylist()]
+            known = m.known()
+            for b in _slices(batches, 20_000):
+                got = [m.subject(x) or "-" for x in _known_items(b.column(2), known)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.string())], ["id", "no", "items", "subject"])
 
         return materialize(lines.mapInArrow(assign, "id long, no int, items array<string>, subject string"), "rule-assigned")
@@ -283,21 +312,35 @@ def fit_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame | Non
     held = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0
     rules = [r for r in prune(_mine(again.filter(~held).select("id", "items", "subject"))) if r[1] != "-"]
     model = RuleModel(rules, 0.5)
-    truth: dict[int, set[str]] = defaultdict(set)
-    for r in lab.filter(held).collect():
-        truth[r["id"]].add(r["subject"])
     tries = [x / 20 for x in range(6, 19)]
-    score = {x: [0, 0, 0] for x in tries}
-    per: dict[int, list[dict[str, float]]] = defaultdict(list)
-    for r in lines.filter(held).join(F.broadcast(lab.select("id").distinct()), "id", "left_semi").toLocalIterator():
-        per[r["id"]].append(model.evidence(r["items"]))
-    for i, evidence in per.items():
-        for x in tries:
-            counts = Counter(min(e, key=lambda s: (-e[s], s)) for e in evidence if e and max(e.values()) >= x)
-            got = {s for s, n in counts.most_common(MOST_SUBJECTS) if n >= LEAST_SHARE * len(evidence)}
-            score[x][0] += len(got & truth[i])
-            score[x][1] += len(got)
-            score[x][2] += len(truth[i])
+    dumped = model.dumps()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = RuleModel.loads(dumped)
+        terms_of = m.known()
+        for b in _slices(batches, 20_000):
+            best, value = [], []
+            for e in map(m.evidence, _known_items(b.column(1), terms_of)):
+                top = min(e, key=lambda s: (-e[s], s)) if e else None
+                best.append(top)
+                value.append(e[top] if e else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(value, pa.float64())], ["id", "best", "value"])
+
+    own = lines.filter(held).join(F.broadcast(lab.select("id").distinct()), "id", "left_semi").select("id", "items").mapInArrow(weigh, "id long, best string, value double")
+    per = own.groupBy("id", "best").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("value") >= x, 1)).alias(f"c{i}") for i, x in enumerate(tries)))
+    w = Window.partitionBy("id")
+    per = per.withColumn("all", F.sum("n").over(w)).filter("best is not null")
+    truth = lab.filter(held).select("id", F.col("subject").alias("best"), F.lit(1).alias("true"))
+    sums = []
+    for i in range(len(tries)):  # the subjects of each document at each threshold: at most two rows of a window
+        c = F.col(f"c{i}")
+        rank = F.row_number().over(w.orderBy(c.desc(), "best"))
+        sums.append(F.when((c > 0) & (rank <= MOST_SUBJECTS) & (c >= LEAST_SHARE * F.col("all")), 1).otherwise(0).alias(f"g{i}"))
+    got = per.select("id", "best", *sums).join(F.broadcast(truth), ["id", "best"], "left")
+    hits = got.agg(*(F.sum(F.col(f"g{i}") * F.coalesce("true", F.lit(0))).alias(f"a{i}") for i in range(len(tries))), *(F.sum(f"g{i}").alias(f"b{i}") for i in range(len(tries)))).first()
+    # documents without any sentence have no part in the choice
+    wanted = truth.join(F.broadcast(own.select("id").distinct()), "id", "left_semi").count()
+    score = {x: (hits[f"a{i}"] or 0, hits[f"b{i}"] or 0, wanted) for i, x in enumerate(tries)}
     f1 = {x: 2 * a / (b + c) if b + c else 0.0 for x, (a, b, c) in score.items()}
     best = max(f1.values())
     good = [x for x in tries if f1[x] >= best - 0.005]
@@ -323,6 +366,23 @@ def classify(documents: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, "doc_id long, subject string, share double")
 
 
+def classify_lines(lines: DataFrame, model: RuleModel) -> DataFrame:
+    """The same from the sentences of the documents (``lines_of``); an id with several texts is one document with
+    the sentences of all."""
+    dumped = model.dumps()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = RuleModel.loads(dumped)
+        known = m.known()
+        for b in _slices(batches, 20_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.subject(x) for x in _known_items(b.column(1), known)], pa.string())], ["doc_id", "subject"])
+
+    per = lines.select("id", "items").mapInArrow(run, "doc_id long, subject string").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("doc_id")  # at most one row per subject
+    per = per.withColumn("share", F.col("n") / F.sum("n").over(own)).filter(F.col("subject").isNotNull() & (F.col("share") >= LEAST_SHARE - 1e-9))
+    return per.withColumn("rn", F.row_number().over(own.orderBy(F.col("share").desc(), "subject"))).filter(F.col("rn") <= MOST_SUBJECTS).select("doc_id", "subject", "share")
+
+
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
     """(subject, documents, part) of the corpus: how many documents have each subject, and their part of all."""
     total = documents.select(F.count(F.lit(1)).alias("all"))
