@@ -193,6 +193,40 @@ class InvertedFile:
         return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Vectors up to which a search looks at all of them.
+EXACT_VECTORS = 5_000
+
+
+def best_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query, id, score, rank): exact up to ``EXACT_VECTORS`` vectors, by an inverted file beyond."""
+    if vectors.count() < EXACT_VECTORS:
+        return knn(vectors, queries, k)
+    return InvertedFile(vectors).search(queries, k)
+
+
+def until_poor(scored: DataFrame, batch: int, least: float) -> DataFrame:
+    """(query, id, rank, score) of (query, id, rank, s): batches of a list are scored in order up to and with the
+    first whose best score is below ``least``; the scores of the rest are null."""
+    rows = scored.withColumn("batch", F.floor((F.col("rank") - 1) / batch))
+    best = rows.groupBy("query", "batch").agg(F.max("s").alias("m")).filter(F.col("m") < least)
+    poor = best.groupBy("query").agg(F.min("batch").alias("poor"))
+    return rows.join(poor, "query", "left").select("query", "id", "rank", F.when(F.col("poor").isNull() | (F.col("batch") <= F.col("poor")), F.col("s")).alias("score"))
+
+
+def calibrated(feedback: DataFrame, slope: float = 1.0, offset: float = 0.0, rounds: int = 100, rate: float = 0.01, least: int = 5) -> DataFrame:
+    """One row (slope, offset, samples): logistic calibration of (score, useful) by gradient descent. Scores are
+    counted in steps of 1e-4, clipped to +-30, so the driver gets bins, never rows; fewer samples than ``least``
+    leave the calibration as it was."""
+    x = F.round(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score"))), 4)
+    bins = feedback.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("useful").cast("double")).alias("y")).collect()
+    v, n, y = (np.array([r[c] for r in bins], float) for c in ("x", "n", "y"))
+    total = n.sum()
+    for _ in range(rounds if total >= least else 0):
+        wrong = n / (1 + np.exp(-(slope * v + offset))) - y
+        slope, offset = slope - rate * float((wrong * v).sum() / total), offset - rate * float(wrong.sum() / total)
+    return feedback.sparkSession.createDataFrame([(float(slope), float(offset), int(total))], "slope double, offset double, samples long")
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: part of the true (query, id) pairs that were found."""
     hit = truth.select("query", "id").join(found.select("query", "id").withColumn("hit", F.lit(1)), ["query", "id"], "left")
