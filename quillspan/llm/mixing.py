@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from quillspan.session import materialize
 
-BINS = 4096
-ROUNDS = 3
+GRID = 64
+ROUNDS = 6
+#: Target sources: a table of more is refused. Their rates, and GRID sums of each, are all that reaches the driver.
+MOST_SOURCES = 10_000
 
 
 def plain_source(c: Column) -> Column:
@@ -22,25 +24,24 @@ def plain_source(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def rate_thresholds(u: np.ndarray, cap: int) -> np.ndarray:
-    """(len(u), cap): the mean at which the Poisson quantile of u becomes k, for k = 1..cap.
-
-    The quantile is at least k as soon as P(N <= k - 1) < u; that probability falls with the mean, so
-    the equation has one root, found by bisection for all at once."""
-    out = np.empty((len(u), cap))
+def uses(u: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
+    """Quantile of u of the Poisson distribution of a mean rate, at most ``cap``; u and rate as arrays that fit together.
+    A rate over 700 counts as infinite."""
+    endless = rate > 700
+    rate = np.where(endless, 0.0, rate)
+    term = np.exp(-rate)
+    cdf = term.copy()
+    out = np.zeros(np.broadcast_shapes(u.shape, rate.shape), np.int64)
     for k in range(1, cap + 1):
-        lo, hi = np.zeros(len(u)), np.full(len(u), 60.0 + 4.0 * k)
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            term = np.exp(-mid)
-            cdf = term.copy()
-            for j in range(1, k):
-                term = term * mid / j
-                cdf += term
-            above = cdf >= u
-            lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-        out[:, k - 1] = hi
-    return out
+        out += cdf < u
+        term = term * rate / k
+        cdf = cdf + term
+    return np.where(endless, cap, out)
+
+
+def _rate(y: np.ndarray) -> np.ndarray:
+    """The rate of a number in [0, 1]; 1 is a rate at which every document is used up to its cap."""
+    return np.where(y < 1, y / np.maximum(1 - y, 1e-300), np.inf)
 
 
 class SourceMix:
@@ -48,11 +49,10 @@ class SourceMix:
 
     ``sizes``: (id, source, size) one row per document; ``targets``: (source, target_share, max_repeats).
     Each document has a number u in (0, 1) from a hash of the seed and its id, and is used as often as
-    the Poisson quantile of u at its source's mean rate, at most max_repeats times. The rate of a source
-    is the one at which the tokens so drawn come nearest to its target: a copy k of a document enters at
-    one known rate (``rate_thresholds``), so the drawn tokens grow step by step with the rate, and the
-    step is found by counting tokens by rate in bins, three times finer each (8 sources x 4096 bins
-    reach the driver, whatever the corpus).
+    the Poisson quantile of u at its source's mean rate, at most max_repeats times. The tokens so drawn grow
+    step by step with the rate; the rate at which they come nearest to the target is found by counting them at
+    GRID rates at once, each round within the interval of the round before. Documents are only repeated in the
+    result.
 
     ``total`` is the size of the selection; by default, and at most, the largest at which every source
     can have its share. Documents of no target source, null ids and sizes of 0 or null are never used;
@@ -65,27 +65,18 @@ class SourceMix:
         self.seed = seed
         goal = targets.select(plain_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
         goal = goal.filter("source is not null and share > 0").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
-        self.goal = {r["source"]: (r["share"], max(r["cap"] or 0, 0)) for r in goal.limit(100_000).collect()}
-        caps = {s: c for s, (_, c) in self.goal.items() if c > 0}
+        rows = goal.limit(MOST_SOURCES + 1).collect()
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} target sources")
+        self.goal = {r["source"]: (r["share"], max(r["cap"] or 0, 0)) for r in rows}
+        self.caps = {s: c for s, (_, c) in self.goal.items() if c > 0}
         docs = sizes.select(F.col("id").cast("long").alias("id"), plain_source(F.col("source")).alias("source"), F.col("size").cast("long").alias("size"))
-        docs = docs.filter(F.col("id").isNotNull() & (F.col("size") > 0) & F.col("source").isin(list(caps) or [""]))
+        docs = docs.filter(F.col("id").isNotNull() & (F.col("size") > 0))
+        docs = docs.join(F.broadcast(goal.filter("cap > 0").select("source")), "source", "left_semi")  # at most MOST_SOURCES
         docs = docs.groupBy("id").agg(F.max(F.struct("size", "source")).alias("m")).select("id", "m.source", "m.size")
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 12).cast("double") + 0.5) / F.lit(float(2**52))
-        top = max(caps.values(), default=1)
-
-        def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = rate_thresholds(b.column(3).to_numpy(), top)
-                cap = np.array([caps[s] for s in b.column(1).to_pylist()], np.int64)
-                keep = np.arange(top) < cap[:, None]
-                y = (x / (1 + x))[keep]  # the rate mapped to (0, 1)
-                rows = np.repeat(np.arange(b.num_rows), cap)
-                k = np.broadcast_to(np.arange(1, top + 1), keep.shape)[keep]
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(k.astype(np.int32)), pa.array(y)], ["id", "source", "size", "copy", "y"])
-
-        self.units = materialize(docs.withColumn("u", u).mapInArrow(thresholds, "id long, source string, size long, copy int, y double"), "mix-units")
-        self.available = {r["source"]: r["t"] for r in self.units.groupBy("source").agg(F.sum("size").alias("t")).collect()}
+        self.docs = materialize(docs.withColumn("u", u), "mix-documents")
+        self.available = {r["source"]: r["t"] * self.caps[r["source"]] for r in self.docs.groupBy("source").agg(F.sum("size").alias("t")).collect()}
         live = {s: self.goal[s][0] for s in self.available}
         weight = sum(live.values())
         most = min((self.available[s] * weight / w for s, w in live.items()), default=0.0)
@@ -93,39 +84,61 @@ class SourceMix:
         self.want = {s: self.total * w / weight for s, w in live.items()}
         self.cut = self._cuts()
 
+    def _drawn(self, grid: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Per source the tokens drawn at each place of its grid; sums are made where the documents lie."""
+        caps = self.caps
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for b in batches:
+                source = np.asarray(b.column(0).to_pylist(), dtype=object)
+                size, u = b.column(1).to_numpy(), b.column(2).to_numpy()
+                for s in set(source):
+                    own = source == s
+                    n = uses(u[own][:, None], _rate(grid[s])[None, :], caps[s])
+                    sums[s] = sums.get(s, 0) + (n * size[own][:, None]).sum(0)
+            at = [(s, i, int(t)) for s, v in sums.items() for i, t in enumerate(v)]
+            cols = list(zip(*at, strict=True)) if at else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["source", "at", "t"])
+
+        out = {s: np.zeros(len(g), np.int64) for s, g in grid.items()}
+        part = self.docs.select("source", "size", "u").mapInArrow(run, "source string, at int, t long")
+        for r in part.groupBy("source", "at").agg(F.sum("t").alias("t")).collect():
+            out[r["source"]][r["at"]] = r["t"]
+        return out
+
     def _cuts(self) -> dict[str, float]:
-        """Per source the value of y below which copies are used."""
-        low, width, below = dict.fromkeys(self.want, 0.0), 1.0, dict.fromkeys(self.want, 0)
-        step = {s: 0 for s in self.want}
-        for _ in range(ROUNDS):
-            if not low:
-                break
-            start = F.create_map(*(x for s, v in low.items() for x in (F.lit(s), F.lit(v))))[F.col("source")]
-            rows = self.units.withColumn("bin", F.floor((F.col("y") - start) * (BINS / width)))
-            sums = rows.filter(f"bin between 0 and {BINS - 1}").groupBy("source", "bin").agg(F.sum("size").alias("t")).collect()
-            by: dict[str, list[tuple[int, int]]] = {s: [] for s in low}
-            for r in sums:
-                by[r["source"]].append((r["bin"], r["t"]))
-            width /= BINS
-            for s, bins in by.items():
-                at = BINS - 1
-                for b, t in sorted(bins):
-                    if below[s] + t > self.want[s]:
-                        at, step[s] = b, t
-                        break
-                    below[s] += t
-                else:
-                    step[s] = 0
-                low[s] += at * width
-        near = {s: step[s] > 0 and below[s] + step[s] - self.want[s] < self.want[s] - below[s] for s in low}
-        return {s: 1.0 if below[s] >= self.available[s] else low[s] + (width if near[s] else 0.0) for s in low}
+        """Per source its rate, as a number in [0, 1]."""
+        low, high = dict.fromkeys(self.want, 0.0), dict.fromkeys(self.want, 1.0)
+        below, above = dict.fromkeys(self.want, 0), dict(self.available)
+        for _ in range(ROUNDS if low else 0):
+            grid = {s: np.linspace(low[s], high[s], GRID + 1)[1:-1] for s in low}
+            for s, drawn in self._drawn(grid).items():
+                n = int(np.searchsorted(drawn, self.want[s], side="right"))  # drawn tokens grow along the grid
+                if n > 0:
+                    low[s], below[s] = float(grid[s][n - 1]), int(drawn[n - 1])
+                if n < len(drawn):
+                    high[s], above[s] = float(grid[s][n]), int(drawn[n])
+        return {s: low[s] if self.want[s] - below[s] <= above[s] - self.want[s] else high[s] for s in low}
 
     def selection(self) -> DataFrame:
         """(id, source, size, copy, position) of each use of a document; position is a hash by which the
         selection is shuffled: rows of one id get positions far apart."""
-        cut = F.create_map(*(x for s, v in self.cut.items() for x in (F.lit(s), F.lit(v))))[F.col("source")] if self.cut else F.lit(None)
-        used = self.units.filter(F.col("y") < cut)
-        return used.select("id", "source", "size", "copy", F.xxhash64(F.lit(self.seed + 1), "id", "copy").alias("position"))
+        cut, caps = self.cut, self.caps
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                source = b.column(1).to_pylist()
+                u, n = b.column(3).to_numpy(), np.zeros(b.num_rows, np.int64)
+                at = np.asarray(source, dtype=object)
+                for s in set(source):
+                    own = at == s
+                    n[own] = uses(u[own], _rate(np.array([cut[s]])), caps[s])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n.astype(np.int32))], ["id", "source", "size", "n"])
+
+        used = self.docs.mapInArrow(run, "id long, source string, size long, n int").filter("n > 0")
+        used = used.select("id", "source", "size", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+        return used.withColumn("position", F.xxhash64(F.lit(self.seed + 1), "id", "copy"))
 
     def shuffled(self, partitions: int | None = None) -> DataFrame:
         """The selection in global random order: range-partitioned and sorted by position."""
@@ -134,7 +147,7 @@ class SourceMix:
 
     def shares(self) -> DataFrame:
         """(source, target_share, actual_share, tokens, documents, uses, most_uses, rate) per target source."""
-        spark = self.units.sparkSession
+        spark = self.docs.sparkSession
         per = self.selection().groupBy("source", "id").agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("c"))
         got = {r["source"]: r for r in per.groupBy("source").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("d"), F.sum("c").alias("u"), F.max("c").alias("m")).collect()}
         every = sum(r["t"] for r in got.values())

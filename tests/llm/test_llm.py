@@ -433,17 +433,27 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.SourceMix(sizes.limit(0), targets).selection().count() == 0
 
 
-def test_rates_are_poisson_quantiles():
+def test_uses_are_poisson_quantiles():
     import math
 
     import numpy as np
 
-    u = np.array([0.05, 0.3, 0.7, 0.99])
-    x = mixing.rate_thresholds(u, 3)
-    for i, p in enumerate(u):
-        for k in (1, 2, 3):
-            m = x[i, k - 1]
-            assert sum(math.exp(-m) * m**j / math.factorial(j) for j in range(k)) == pytest.approx(p, abs=1e-9)
+    rates = np.array([0.0, 0.2, 1.0, 3.0, 40.0, np.inf])
+    for u in (0.05, 0.3, 0.7, 0.99):
+        got = mixing.uses(np.array([[u]]), rates[None, :], 6)[0]
+        for n, m in zip(got, rates, strict=True):
+            if math.isinf(m):
+                assert n == 6
+                continue
+            cdf = [sum(math.exp(-m) * m**j / math.factorial(j) for j in range(k + 1)) for k in range(6)]
+            assert n == next((k for k, c in enumerate(cdf) if c >= u), 6)
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    sizes = spark.createDataFrame([(1, "a", 5)], "id long, source string, size long")
+    with pytest.raises(ValueError):
+        mixing.SourceMix(sizes, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int"))
 
 
 # ---------------------------------------------------------------- 10 subjects
