@@ -1,7 +1,8 @@
 """Items that appear together: co-occurrence counts and how far they exceed chance.
 
 Basket collapsing: baskets are deduplicated item arrays; identical arrays become one row with a
-weight, pairs are enumerated once per distinct array, and the weights are summed.
+weight, pairs are enumerated once per distinct array, and the weights are summed. The items of a large basket are
+dealt into blocks, and each pair of its blocks is an array that is collapsed and enumerated in the same way.
 """
 
 from __future__ import annotations
@@ -46,9 +47,8 @@ def frequent_pairs(
     Exactness at any size: items with fewer than ``min_count`` baskets, or with n_a > n / min_lift,
     can be in no case (n_ab <= min(n_a, n_b)), so the one item a third of the baskets touch never
     reaches the enumeration when min_lift >= 3. Baskets of more than ``large`` remaining items are never
-    gathered into an array nor enumerated: pairs that some small basket has get the weights of the large ones they share by
-    intersecting the two items' lists of large baskets; pairs no small basket has must share
-    ``min_count`` large ones and are found from the distinct lists (see ``_large_only``)."""
+    gathered into one array: a pair of their items is in the one array of its two blocks (see ``_block_pairs``),
+    so no task holds more than about ``large`` items of a basket, and all pairs are counted the same way."""
     g = F.col(group) if group else F.lit("")
     b = F.col(basket)
     # a basket is told by 128 bits of hashes, an item by a number given to it when its row is written
@@ -64,27 +64,16 @@ def frequent_pairs(
         ids = F.broadcast(ids)
     kept = materialize(base.join(ids, ["grp", "item"]).select("b1", "b2", F.xxhash64("grp").alias("g"), "i"), "pair-kept")
     keys = ["g", "b1", "b2"]
-    wide = materialize(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > large).select(*keys), "pair-large-baskets")
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > large)
+    wide = materialize(sizes, "pair-large-baskets")
     some_wide = not wide.isEmpty()
-    narrow = kept.join(wide, keys, "left_anti") if some_wide else kept
+    narrow = kept.join(wide.select(*keys), keys, "left_anti") if some_wide else kept
     arrays = narrow.groupBy(*keys).agg(F.array_sort(F.collect_list("i")).alias("items")).filter(F.size("items") > 1)
     collapsed = arrays.groupBy("items").agg(F.count(F.lit(1)).alias("w"))  # items of two groups have other numbers
-    small = (
-        collapsed.select("w", F.explode(_pairs_of("items")).alias("p"))
-        .groupBy(F.col("p.a").alias("ia"), F.col("p.b").alias("ib"))
-        .agg(F.sum("w").alias("n_small"))
-    )
-    if not some_wide:
-        counted = small.withColumnRenamed("n_small", "n_ab")
-    else:
-        big = kept.join(wide, keys, "left_semi").select(F.xxhash64(*keys).alias("k"), F.lit(1).cast("long").alias("w"), "i", "g")
-        lists = materialize(big.groupBy("g", "i").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ks")), "pair-large")
-        la, lb = (lists.select(F.col("i").alias(f"i{x}"), F.col("ks").alias(f"k{x}")) for x in "ab")
-        shared = F.aggregate(F.array_intersect("ka", "kb"), F.lit(0).cast("long"), lambda t, s: t + s["w"])
-        both = small.join(la, "ia", "left").join(lb, "ib", "left")
-        with_small = both.select("ia", "ib", (F.col("n_small") + F.coalesce(shared, F.lit(0))).alias("n_ab"))
-        only = _large_only(lists, min_count).join(small, ["ia", "ib"], "left_anti")
-        counted = with_small.unionByName(only)
+    pairs = collapsed.select("w", F.explode(_pairs_of("items")).alias("p"))
+    if some_wide:
+        pairs = pairs.unionByName(_block_pairs(kept.join(wide, keys), keys, large))
+    counted = pairs.groupBy(F.col("p.a").alias("ia"), F.col("p.b").alias("ib")).agg(F.sum("w").alias("n_ab"))
     counted = counted.filter(F.col("n_ab") >= min_count)
     a = items.select(F.col("i").alias("ia"), "grp", F.col("item").alias("item_a"), F.col("n_i").alias("n_a"), "n")
     c = items.select(F.col("i").alias("ib"), F.col("item").alias("item_b"), F.col("n_i").alias("n_b"))
@@ -101,24 +90,16 @@ def frequent_pairs(
     )
 
 
-def _large_only(lists: DataFrame, min_count: int) -> DataFrame:
-    """Pairs of items whose lists of large baskets share a weight of ``min_count`` or more.
+def _block_pairs(rows: DataFrame, keys: list[str], large: int) -> DataFrame:
+    """(w, p) of the pairs of items of large baskets: rows (keys, i, c).
 
-    Items with the same list are collapsed, so each pair of distinct lists is looked at once; only
-    lists that could reach the count take part, and a pair is expanded to items only if it does."""
-    total = F.aggregate("ks", F.lit(0).cast("long"), lambda t, s: t + s["w"])
-    sig = lists.filter(total >= min_count).select("g", "i", "ks", F.xxhash64("g", "ks").alias("sig"))
-    member = sig.select("sig", "i")
-    one = sig.groupBy("g", "sig").agg(F.first("ks").alias("ks"))
-    keys = one.select("g", "sig", "ks", F.explode("ks").alias("e")).select("g", "sig", "ks", F.col("e.k").alias("k"))
-    a = keys.select("g", "k", F.col("sig").alias("sa"), F.col("ks").alias("ka"))
-    b = keys.select("g", "k", F.col("sig").alias("sb"), F.col("ks").alias("kb"))
-    common = F.array_intersect("ka", "kb")
-    shared = F.aggregate(common, F.lit(0).cast("long"), lambda t, s: t + s["w"])
-    # each pair of lists meets once per shared basket: keep the meeting at their first one
-    met = a.join(b, ["g", "k"]).filter("sa <= sb").withColumn("common", common)
-    met = met.filter(F.col("k") == F.col("common")[0]["k"]).select("sa", "sb", shared.alias("n_ab")).filter(F.col("n_ab") >= min_count)
-    ma = member.select(F.col("sig").alias("sa"), F.col("i").alias("x"))
-    mb = member.select(F.col("sig").alias("sb"), F.col("i").alias("y"))
-    pairs = met.join(ma, "sa").join(mb, "sb").filter((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
-    return pairs.select(F.least("x", "y").alias("ia"), F.greatest("x", "y").alias("ib"), "n_ab")
+    The items of a basket of c items are dealt by hash into blocks of about half of ``large``; each pair of blocks
+    is one array, equal arrays are collapsed, and a pair of items is enumerated in the array of its two blocks alone."""
+    r = rows.withColumn("k", F.ceil(F.col("c") / F.lit(max(large // 2, 1))).cast("int")).withColumn("b", F.pmod(F.xxhash64("i"), F.col("k")).cast("int"))
+    met = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.groupBy(*keys, F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y")).agg(F.array_sort(F.collect_set(F.struct("i", "b"))).alias("items"))
+    same = F.col("x") == F.col("y")
+    arrays = met.groupBy("items", same.alias("same")).agg(F.count(F.lit(1)).alias("w")).filter(F.size("items") > 1)
+    x = F.col("items")
+    two = F.flatten(F.transform(x, lambda a, n: F.transform(F.filter(F.slice(x, n + 2, F.size(x)), lambda c: F.col("same") | (c["b"] != a["b"])), lambda c: F.struct(a["i"].alias("a"), c["i"].alias("b")))))
+    return arrays.select("w", F.explode(two).alias("p"))
