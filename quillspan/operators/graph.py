@@ -97,7 +97,8 @@ def percentile(rows: DataFrame, value: str, node: str = "node") -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """(node, component): least node reachable without regard to direction. Large-star and small-star
-    rounds: each halves the depth of the trees, so a few rounds do whatever the diameter."""
+    rounds: each halves the depth of the trees, so a few rounds do whatever the diameter. A result that still changes
+    after ``limit`` rounds is an error."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     nodes = materialize(edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).distinct(), "cc-nodes")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
@@ -113,6 +114,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
         e = small
         if same:
             break
+    else:
+        raise RuntimeError(f"components still change after {limit} rounds")
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
@@ -121,7 +124,7 @@ def strong_components(edges: DataFrame, source: str = "source_id", target: str =
 
     Nodes that can lie on no cycle are trimmed; then every node takes the largest node that reaches it as
     its colour, and what the colour's root is reached by within the colour is the root's component; these
-    are taken out and the rest is done again."""
+    are taken out and the rest is done again. Edges that are left after ``limit`` rounds are an error."""
     e = materialize(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s <> t").distinct(), "scc")
     found = None
     for _ in range(limit):
@@ -156,6 +159,9 @@ def strong_components(edges: DataFrame, source: str = "source_id", target: str =
         found = member if found is None else found.unionByName(member)
         gone = member.select("node")
         e = materialize(e.join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "t"), "t", "left_anti").select("s", "t"), "scc")
+    else:
+        if not e.isEmpty():
+            raise RuntimeError(f"strong components aren't complete after {limit} rounds")
     if found is None:
         return edges.select(F.col(source).alias("node"), F.col(source).alias("component")).limit(0)
     named = found.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
