@@ -55,32 +55,37 @@ def distance(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return d.unionByName(starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("distance")).distinct())
 
 
+#: Nodes up to which ranks are sent to every executor, so that the edges are never shuffled: some 10 MB.
+BROADCAST_NODES = 500_000
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 30, source: str = "source_id", target: str = "target_id", dangling: bool = True, every: int = 5) -> DataFrame:
     """(node, rank). Parallel edges count; the mass of nodes without edges out is spread over all nodes, or
-    lost if not ``dangling``."""
+    lost if not ``dangling``. A round is one join of the edges with the ranks and one sum per node: each node has an
+    edge of no weight to itself, so that none is missing from the sums."""
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t"))
-    nodes = materialize(e.select(F.col("s").alias("node")).union(e.select("t")).distinct(), "rank-nodes")
+    out = e.groupBy("s").agg(F.count(F.lit(1)).alias("out"))
+    nodes = e.select(F.col("s").alias("node")).union(e.select("t")).distinct().join(out.withColumnRenamed("s", "node"), "node", "left")
+    nodes = materialize(nodes.select("node", F.col("out").isNull().alias("end")), "rank-nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    out = e.groupBy("s").agg(F.count(F.lit(1)).alias("out"))
-    w = materialize(e.groupBy("s", "t").agg(F.count(F.lit(1)).alias("m")).join(out, "s").select("s", "t", (F.col("m") / F.col("out")).alias("w")), "rank-edges")
-    last = materialize(nodes.join(out.select(F.col("s").alias("node")), "node", "left_anti"), "rank-ends")
-    rank = nodes.select("node", F.lit(1.0 / n).alias("rank"))
+    w = e.groupBy("s", "t").agg(F.count(F.lit(1)).alias("m")).join(out, "s").select("s", "t", (F.col("m") / F.col("out")).alias("w"), F.lit(None).cast("boolean").alias("end"))
+    w = materialize(w.unionByName(nodes.select(F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0.0).alias("w"), "end")), "rank-edges")
+    small = n <= BROADCAST_NODES
+    rank = nodes.select("node", F.lit(1.0 / n).alias("rank"), "end")
     for i in range(iterations):
-        got = w.join(rank, w["s"] == rank["node"]).groupBy(F.col("t").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
-        base = (1.0 - damping) / n
-        spread = F.lit(base)
+        have = F.broadcast(rank.select("node", "rank")) if small else rank.select("node", "rank")
+        got = w.join(have, F.col("s") == F.col("node")).groupBy("t").agg(F.sum(F.col("rank") * F.col("w")).alias("in"), F.max("end").alias("end"))
+        spread = F.lit((1.0 - damping) / n)
         if dangling:
-            lost = last.join(rank, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-            step = nodes.join(got, "node", "left").join(F.broadcast(lost), how="cross")
-            spread = F.lit(base) + F.lit(damping / n) * F.col("lost")
-        else:
-            step = nodes.join(got, "node", "left")
-        rank = step.select("node", (spread + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("rank"))
+            lost = rank.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+            got = got.join(F.broadcast(lost), how="cross")
+            spread = spread + F.lit(damping / n) * F.col("lost")
+        rank = got.select(F.col("t").alias("node"), (spread + F.lit(damping) * F.col("in")).alias("rank"), "end")
         if (i + 1) % every == 0 or i == iterations - 1:
             rank = materialize(rank, "rank")
-    return rank
+    return rank.select("node", "rank")
 
 
 def percentile(rows: DataFrame, value: str, node: str = "node") -> DataFrame:

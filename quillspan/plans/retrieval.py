@@ -190,24 +190,94 @@ def _(s, d):
     return r.select("query", "id", F.round(code.structural_boost(F.col("score"), F.col("kind"), F.col("visibility"), boost), 6).alias("score"))
 
 
+def features(s, d, rows):
+    """``rows`` (query, id, rank) with file, in-degree, rank percentile, distance to the best result of the query, bugs,
+    freshness and whether the file changed lately; what is missing is null."""
+    from quillspan.plans import aggregates, further, graph, history
+
+    e = materialize(M.dependencies(s, d), "edges")
+    degree = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("in_degree"))
+    percent = G.percentile(graph.QUERIES["gra12_pagerank"](s, d), "rank").withColumnRenamed("node", "id")
+    anchor = rows.filter("rank = 1").select("query", F.col("id").alias("start"))
+    near = G.reach(G.both_ways(e), anchor.select(F.col("start").alias("node")).distinct(), 2)
+    near = anchor.join(near, "start").filter("node <> start").select("query", F.col("node").alias("id"), "distance")
+    f = M.files(s, d).select(F.col("id").alias("file_id"), "path")
+    bugs = history.QUERIES["agg16_bug_boost"](s, d).withColumnRenamed("boost", "bug")
+    fresh = aggregates.QUERIES["win08_freshness"](s, d).withColumnRenamed("id", "file_id")
+    branch = further.QUERIES["fil20_changed_lately"](s, d).select(F.col("id").alias("file_id"), F.col("changed").alias("branch"))
+    out = rows.join(M.chunks(s, d, "file_id", "kind", "visibility", "line_start", "line_end", "token_count"), "id").join(f, "file_id", "left").join(bugs, "path", "left")
+    out = out.join(fresh, "file_id", "left").join(branch, "file_id", "left").join(degree, "id", "left").join(percent, "id", "left").join(near, ["query", "id"], "left")
+    return out.withColumns({"open": F.lit(False), "bug_scale": F.lit(0.3)})
+
+
+def asked(s):
+    """(query, text, type, intent, depth, bug_scale) and the weight of each list, per question."""
+    rows = s.createDataFrame(list(QUESTIONS.items()), "query string, text string").select("query", "text", code.query_type(F.col("text")).alias("type"), code.intent(F.col("text")).alias("intent"))
+    names = ("keyword", "semantic", "symbol", "sparse")
+    own = {n: code.lookup(F.col("type"), {k: v[i] for k, v in T.LIST_WEIGHTS.items()}, 1.0) for i, n in enumerate(names)}
+    by_intent = {n: code.lookup(F.col("intent"), {k: v[i] for k, v in T.INTENT_WEIGHTS.items()}, 1.0) for i, n in enumerate(names[:3])}
+    weights = {f"w_{n}": own[n] * by_intent.get(n, F.lit(1.0)) for n in names}
+    depth = code.lookup(F.col("intent"), {k: v[5] for k, v in code.STRATEGY.items()}, 2)
+    scale = F.when(F.col("intent").isin("debug", "edit"), 1.0).when(F.col("intent") == "refactor", 0.6).otherwise(0.3)
+    return rows.withColumns({**weights, "depth": depth, "bug_scale": scale})
+
+
+def semantic_list(s, d, hits, limit: int = 20):
+    """(query, id, rank): chunks by the vectors stored for them. Without a model a question has no vector of its own: it
+    gets the mean of those of its best keyword hits that have one."""
+    own = M.chunks(s, d, "vector_id").filter("vector_id is not null").join(vectors(s, d).withColumnRenamed("id", "vector_id"), "vector_id").select("id", "vector")
+    own = materialize(own, "chunk-vectors")
+    parts = hits.join(own, "id").select("query", F.posexplode("vector").alias("i", "x")).groupBy("query", "i").agg(F.avg("x").alias("x"))
+    mean = parts.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vector")).withColumn("no", F.crc32(F.col("query").cast("binary")))
+    mean = materialize(mean, "question-vectors")
+    found = T.knn(own, mean.select(F.col("no").alias("id"), "vector"), limit, exclude_self=False)
+    return found.withColumnRenamed("query", "no").join(F.broadcast(mean.select("no", "query")), "no").select("query", "id", "rank")
+
+
 def search(s, d, limit: int = 10, budget: int = 4000):
-    """The whole hybrid search: lists, fusion, boosts, budget, overlap, limit; (query, id, file_id, score, ...)."""
+    """The whole hybrid search: four lists, fusion by the type and intent of each question, attention, the neighbourhood
+    of the best symbols, boosts by graph and history, budget, overlap, limit; (query, id, file_id, score, ...)."""
     from pyspark.sql import Window
 
-    f = materialize(fused(s, d), "search")
+    from quillspan.functions import expansion as X
+    from quillspan.plans import graph
+
+    ask = materialize(asked(s), "questions")
+    kw = materialize(T.bm25(M.chunks(s, d, "content", "doc_comment", "symbol_path"), "id", _FIELDS, question_terms(s), 20).select("query", "id", "rank"), "keyword-list")
+    tokens = ask.select("query", F.explode(X.expanded_terms(F.col("text"))).alias("t")).select("query", F.explode(T.words(F.col("t"))).alias("token")).distinct()
+    stop = s.createDataFrame([(w,) for w in code.STOP_WORDS], "token string")
+    sp = T.sparse_search(sparse(s, d), tokens.join(F.broadcast(stop), "token", "left_anti").withColumn("weight", F.lit(1.0)), 20)
+    lists = {"keyword": kw, "semantic": semantic_list(s, d, kw.filter("rank <= 10")), "symbol": symbol_list(s, d), "sparse": sp}
+    every = None
+    for name, rows in lists.items():
+        part = rows.select("query", "id", "rank").join(F.broadcast(ask.select("query", F.col(f"w_{name}").alias("w"))), "query")
+        part = part.select("query", "id", (F.col("w") / (F.lit(T.RRF_K) + F.col("rank"))).alias("s"))
+        every = part if every is None else every.unionByName(part)
+    f = every.groupBy("query", "id").agg(F.sum("s").alias("score"))
+    att = graph.QUERIES["gra18_attention"](s, d).withColumnRenamed("node", "id")
+    f = f.join(att, "id", "left").select("query", "id", (F.col("score") * (1 + 0.25 * F.coalesce("attention", F.lit(0.0)))).alias("score"))
     w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")
-    top = f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * limit)
-    fr = T.freshness(M.files(s, d).filter("indexed_at is not null"), "indexed_at").select(F.col("id").alias("file_id"), "freshness", "path")
-    bugs = H.bug_boost(H.bug_fixes(M.commits(s, d), M.commit_files(s, d))).select("path", F.col("boost").alias("bug"))
-    c = M.chunks(s, d, "file_id", "kind", "visibility", "line_start", "line_end", "token_count")
-    r = top.join(c, "id").join(fr, "file_id", "left").join(bugs, "path", "left")
-    r = r.withColumns({"in_degree": F.lit(0.0), "distance": F.lit(None).cast("long"), "open": F.lit(False), "bug_scale": F.lit(0.3), "percentile": F.lit(0.0), "branch": F.lit(False)})
+    f = materialize(f.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 4 * limit), "search")
+    symbols = M.symbols(s, d).select(F.col("chunk_id").alias("id"))
+    first = Window.partitionBy("query").orderBy("place")
+    anchors = f.filter("place <= 5").join(symbols, "id", "left_semi").withColumn("n", F.row_number().over(first)).filter("n <= 3").select("query", F.col("id").alias("start"))
+    anchors = materialize(anchors.join(F.broadcast(ask.select("query", "depth")), "query"), "anchors")
+    e = materialize(M.dependencies(s, d), "edges")
+    gar = None
+    for r in ask.select("depth").distinct().collect():  # at most as many as there are intents
+        own = anchors.filter(F.col("depth") == r["depth"])
+        near = G.reasoning(e, own.select(F.col("start").alias("node")).distinct(), r["depth"], 20)
+        near = own.join(near, "start").select("query", F.col("node").alias("id"), F.col("score").alias("g"))
+        gar = near if gar is None else gar.unionByName(near)
+    gar = gar.groupBy("query", "id").agg(F.least(F.max("g"), F.lit(0.5)).alias("g"))
+    f = f.join(gar, ["query", "id"], "left").select("query", "id", (F.col("score") * (1 + F.coalesce("g", F.lit(0.0)))).alias("score"))
+    top = materialize(f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * limit), "search-top")
+    r = features(s, d, top).drop("bug_scale").join(F.broadcast(ask.select("query", "bug_scale")), "query")
     r = r.withColumn("boosted", code.structural_boost(F.col("score"), F.col("kind"), F.col("visibility"), T.graph_boost(r)))
     r = C.budget_prefix(r, budget)
     r = r.select("query", "id", "file_id", F.least("line_start", "line_end").alias("line_start"), F.greatest("line_start", "line_end").alias("line_end"), "token_count", F.col("boosted").alias("score"))
     r = r.fillna({"line_start": 1, "line_end": 1, "file_id": -1})
     r = C.overlap_dedup(r)
-    w = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "id")
     return r.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
 
 

@@ -14,7 +14,7 @@ from quillspan.operators import retrieval as T
 from quillspan.plans import aggregates, context, further, graph, history
 from quillspan.plans.base_sql import sql
 from quillspan.plans.book import Book
-from quillspan.plans.retrieval import _FIELDS, _FUSE, _SPARSE, _SPL, _SYM, _TERMS, QUESTIONS, _bm25_sql, fused, question_terms, sparse, symbol_list, vectors
+from quillspan.plans.retrieval import _FIELDS, _FUSE, _SPARSE, _SPL, _SYM, _TERMS, QUESTIONS, _bm25_sql, features, fused, question_terms, sparse, symbol_list, vectors
 from quillspan.session import materialize
 from quillspan.sources import model as M
 from quillspan.sources.tables import table
@@ -108,7 +108,7 @@ def _(s, d):
 # ---------------------------------------------------------------- graph features of results
 
 _ATT = "(" + graph.SQL["gra18_attention"] + ")"
-_PCT = "(" + aggregates.SQL["win02_pagerank_percentiles"] + ")"
+_PCT = "(SELECT node, (row_number() OVER (ORDER BY rank, node) - 1) / count(*) OVER ()::DOUBLE AS percentile FROM (" + graph.SQL["gra12_pagerank"] + "))"
 _BUG = "(" + history.SQL["agg16_bug_boost"] + ")"
 _NEW = "(" + further.SQL["fil20_changed_lately"] + ")"
 _FRS = "(" + aggregates.SQL["win08_freshness"] + ")"
@@ -120,24 +120,6 @@ def _(s, d):
     return keyword(s, d).select("query", "id").join(a, "id", "left").select("query", "id", F.coalesce("attention", F.lit(0.0)).alias("attention"))
 
 
-def features(s, d, rows):
-    """``rows`` (query, id) with file, in-degree, rank percentile, distance to the best result of the query, bugs,
-    freshness and whether the file changed lately; what is missing is null."""
-    e = materialize(M.dependencies(s, d), "edges")
-    degree = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("in_degree"))
-    percent = G.percentile(G.pagerank(e).select("node", F.round("rank", 12).alias("rank")), "rank").withColumnRenamed("node", "id")
-    anchor = rows.filter("rank = 1").select("query", F.col("id").alias("start"))
-    near = G.reach(G.both_ways(e), anchor.select(F.col("start").alias("node")).distinct(), 2)
-    near = anchor.join(near, "start").filter("node <> start").select("query", F.col("node").alias("id"), "distance")
-    f = M.files(s, d).select(F.col("id").alias("file_id"), "path")
-    bugs = history.QUERIES["agg16_bug_boost"](s, d).withColumnRenamed("boost", "bug")
-    fresh = aggregates.QUERIES["win08_freshness"](s, d).withColumnRenamed("id", "file_id")
-    branch = further.QUERIES["fil20_changed_lately"](s, d).select(F.col("id").alias("file_id"), F.col("changed").alias("branch"))
-    out = rows.join(M.chunks(s, d, "file_id", "kind", "visibility", "line_start", "line_end", "token_count"), "id").join(f, "file_id", "left").join(bugs, "path", "left")
-    out = out.join(fresh, "file_id", "left").join(branch, "file_id", "left").join(degree, "id", "left").join(percent, "id", "left").join(near, ["query", "id"], "left")
-    return out.withColumns({"open": F.lit(False), "bug_scale": F.lit(0.3)})
-
-
 _FEATURES = [
     "top AS (SELECT query, id FROM kw WHERE rnk = 1)", _NB,
     "w1 AS (SELECT DISTINCT query, top.id AS start, near AS id FROM top JOIN nb USING (id))", "w2 AS (SELECT DISTINCT query, start, nb.near AS id FROM w1 JOIN nb USING (id) WHERE nb.near <> start)",

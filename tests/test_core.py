@@ -133,6 +133,12 @@ def test_vector_search_and_inverted_file(spark):
     assert T.knn(df, df.filter("id < 0"), 5).count() == 0
 
 
+def test_recall_of_the_inverted_file_on_the_data(spark):
+    from quillspan.plans.retrieval import QUERIES
+
+    assert QUERIES["ret02_ivf_recall"](spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
+
+
 def test_bm25_falls_back_to_any_term(spark):
     d = spark.createDataFrame([(1, "red green"), (2, "green blue"), (3, None)], "id long, t string")
     q = spark.createDataFrame([("a", "red"), ("a", "green"), ("b", "red"), ("b", "blue")], "query string, term string")
