@@ -6,8 +6,10 @@ one parse."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,3 +130,35 @@ def summaries(chunks: DataFrame, least: int = 3, most: int = MOST_TOKENS) -> Dat
     g = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("s"), F.count(F.lit(1)).alias("leaves")).filter(F.col("leaves") >= least)
     kept = F.aggregate("s", F.lit(""), lambda t, x: F.when(F.length(t) + F.length(x["t"]) + 1 <= most * 4, F.concat(t, x["t"], F.lit("\n"))).otherwise(t))
     return g.select("file_id", "leaves", kept.alias("content"))
+
+
+PARTS = "id long, name string, kind string, before string, declared string, points array<int>, ranges array<struct<start: int, stop: int>>"
+
+
+def element_parts(elements: DataFrame, files: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """Per element (id, name, kind, line_start, line_end) of files (id, content): the lines before it, what its file
+    declares, the lines at which it may be cut, and the ranges that are left once small ones are gathered. A file's
+    text goes with its own elements alone, gathered into one row, so nothing is shuffled but the elements."""
+    item = F.struct("line_start", "line_end", "name", "kind")
+    rows = elements.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("e")).join(files.select("id", "content"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = text.replace("\r\n", "\n").split("\n")
+                declared = "\n".join(declarations(lines))
+                for e in own:
+                    body = lines[max(0, e["line_start"] - 1) : e["line_end"]]
+                    points = split_points(body, e["kind"], most)
+                    ranges = [{"start": x, "stop": y} for x, y in merged(points, body, most)]
+                    out.append({"id": i, "name": e["name"], "kind": e["kind"], "before": "\n".join(backward_context(lines, e["line_start"] - 1)), "declared": declared, "points": points, "ranges": ranges})
+            yield pa.RecordBatch.from_pylist(out, schema=_PARTS)
+
+    return rows.select("id", "e", "content").mapInArrow(run, PARTS)
+
+
+_PARTS = pa.schema([
+    ("id", pa.int64()), ("name", pa.string()), ("kind", pa.string()), ("before", pa.string()), ("declared", pa.string()),
+    ("points", pa.list_(pa.int32())), ("ranges", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+])
