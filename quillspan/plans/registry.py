@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = [
     importlib.import_module(f"quillspan.plans.{m}")
-    for m in ("incremental", "lookups", "aggregates", "scalars", "history", "graph", "retrieval", "context", "writes", "parsing", "streams", "evaluation", "further", "edges", "stored", "stages", "analysis")
+    for m in ("incremental", "lookups", "aggregates", "scalars", "history", "graph", "retrieval", "context", "writes", "parsing", "streams", "evaluation", "further", "edges", "stored", "stages", "analysis", "parts")
 ]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
