@@ -55,6 +55,16 @@ def test_stream_upserts_and_debounce(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/out/state-0").collect()} == {("a", 4), ("b", 3)}
 
 
+def test_state_of_several_batches(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([("a", i), (f"k{i}", i)], "k string, v int").coalesce(1).write.parquet(f"{tmp_path}/in/part{i}.parquet")
+    stream = S.file_events(spark, f"{tmp_path}/in/*", "*.parquet", "k string, v int", files_per_trigger=1)
+    S.upsert_batches(stream, f"{tmp_path}/out", ["k"], lambda: [F.col("v").desc()])
+    assert {r["k"] for r in S.newest_state(spark, f"{tmp_path}/out").collect()} == {"a", "k0", "k1", "k2"}
+    with pytest.raises(ValueError):
+        S.newest_state(spark, f"{tmp_path}/none")
+
+
 def test_element_chunks_and_summaries(spark):
     body = "import os\n\ndef first(a):\n" + "".join(f"    x{i} = call_{i}(a)\n" for i in range(200)) + "\ndef second():\n    return 1\n"
     f = spark.createDataFrame([(1, "r/a.py", "python", body)], "id long, path string, language string, content string")
