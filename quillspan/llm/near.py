@@ -21,13 +21,25 @@ HOT_BUCKET = 96
 BAND = 24
 #: Ids of candidate texts that are sent to every executor to pick the texts before they are shuffled: 16 MB.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text a Python worker takes at once: its arrays have some ten times as much.
+SLICE_BYTES = 4_000_000
+
+
+def _slices(batch: pa.RecordBatch, texts: list[int], rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and ``SLICE_BYTES`` in its columns ``texts``; a row of more is a part of its own."""
+    ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+    at = 0
+    while at < batch.num_rows:
+        room = (ends[at - 1] if at else 0) + SLICE_BYTES
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, room, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _sketch(df: DataFrame, id_col: str, content_col: str, k: int, sketches: int, kmers: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for part in _slices(batch, [1], 4000):
                 ids, texts = part.columns
                 words, offsets = sh.word_hashes(texts)
                 h, to = sh.shingle_hashes(words, offsets, k)
@@ -147,8 +159,8 @@ def _runs(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids, body = batch.slice(at, 1000).columns
+            for part in _slices(batch, [1], 1000):
+                ids, body = part.columns
                 h, to = sh.shingle_hashes(*sh.word_hashes(body), k)
                 some = np.diff(to) > 0
                 own = np.concatenate([[0], np.cumsum(np.diff(to)[some])]).astype(np.int64)
@@ -203,6 +215,19 @@ def candidate_pairs(texts: DataFrame, threshold: float, runs: Callable[[DataFram
     return out.distinct()
 
 
+def _verify(both: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b, aligned) of the pairs (a, b, ta, tb) whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in _slices(batch, [2, 3], 2000):
+                good, matched = similar(p.column(2), p.column(3), k, threshold)
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([p.column(0).filter(keep), p.column(1).filter(keep), pa.array(matched[good])], ["a", "b", "aligned"])
+
+    return both.mapInArrow(run, "a long, b long, aligned long")
+
+
 class NearDuplicates:
     """Near-duplicate search over (id, content).
 
@@ -231,17 +256,7 @@ class NearDuplicates:
         wanted = materialize(found.select(F.col("a").alias("id")).union(found.select(F.col("b"))).distinct(), "near-wanted")
         chosen = texts_of(wanted)
         left, right = (chosen.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    p = batch.slice(at, 2000)
-                    good, matched = similar(p.column(2), p.column(3), k, threshold)
-                    keep = pa.array(good)
-                    yield pa.RecordBatch.from_arrays([p.column(0).filter(keep), p.column(1).filter(keep), pa.array(matched[good])], ["a", "b", "aligned"])
-
-        both = found.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        self.links = both.mapInArrow(verify, "a long, b long, aligned long")
+        self.links = _verify(found.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), k, threshold)
 
     def pairs(self) -> DataFrame:
         """All pairs (a, b), a < b, of different ids: links expanded to the members of both classes,

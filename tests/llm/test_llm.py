@@ -259,6 +259,36 @@ def test_repeated_blocks_are_near_what_stands_once(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(40)}
 
 
+def test_workers_take_long_texts_by_bytes(spark, monkeypatch):
+    import numpy as np
+
+    class Rows:  # gives what would run on the executors
+        def select(self, *columns):
+            return self
+
+        filter = select
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    taken = []
+    word_hashes = shingles.word_hashes
+    monkeypatch.setattr(shingles, "word_hashes", lambda texts: taken.append(sum(len(x) for x in texts.to_pylist())) or word_hashes(texts))
+    sizes = [20_000] * 300 + [10] * 50 + [9_000_000] + [20_000] * 300
+    texts = pa.array([" ".join(f"{i}{j}" + "x" * (n // 5) for j in range(5)) for i, n in enumerate(sizes)])
+    ids = pa.array(np.arange(len(sizes)))
+    one, two = pa.RecordBatch.from_arrays([ids, texts], ["id", "text"]), pa.RecordBatch.from_arrays([ids, ids, texts, texts], ["a", "b", "ta", "tb"])
+    for run, batch in ((near._sketch(Rows(), "id", "text", 3, 28, 3), one), (near._runs(Rows(), 3), one), (near._verify(Rows(), 3, 0.7), two)):
+        taken.clear()
+        got = pa.Table.from_batches(run(iter([batch])))
+        assert got.column(0).to_pylist() == ids.to_pylist()
+        assert {n for n in taken if n > 4_000_000} == {len(texts[350].as_py())}  # only the text that is longer by itself
+        assert sum(taken) == sum(len(x) for x in texts.to_pylist()) * (len(batch.columns) // 2)
+        alone = pa.Table.from_batches([b for i in (0, 300, 350, 650) for b in run(iter([batch.slice(i, 1)]))])
+        assert got.take([0, 300, 350, 650]).to_pylist() == alone.to_pylist()
+    assert not list(near._sketch(Rows(), "id", "text", 3, 28, 3)(iter([one.slice(0, 0)])))
+
+
 def test_banded_alignment_both_ways():
     import numpy as np
 
