@@ -29,6 +29,8 @@ FIT_DOCUMENTS = 20_000
 #: Ids of labelled documents left out, and terms, that are sent to every executor: else they are joined.
 BROADCAST_IDS = 2_000_000
 BROADCAST_TERMS = 200_000
+#: Bytes of a batch that a Python worker takes or gives at once: the Python objects of texts have some twenty times as much.
+SLICE_BYTES = 4_000_000
 LEAST_SHARE = 0.2
 MOST_SUBJECTS = 2
 MIN_SUPPORT = 0.0004
@@ -100,10 +102,37 @@ def terms(sentence: str) -> list[str]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that the Python objects made of one stay few."""
+    """Smaller batches of at most ``rows`` rows and ``SLICE_BYTES``, so that the Python objects made of one stay
+    few; a row of more is a batch of its own."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > SLICE_BYTES:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, no, items) of every sentence of (id, text), given as soon as the sentences at hand have SLICE_BYTES / 4:
+    their terms, each word by itself and in pairs, have some three times as much."""
+
+    def batch(own: list[int], no: list[int], items: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(items, pa.list_(pa.string()))], ["id", "no", "items"])
+
+    for b in _slices(batches, 100):
+        own, no, items, held = [], [], [], 0
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for j, s in enumerate(sentences(t)):
+                if held and held + len(s) > SLICE_BYTES // 4:
+                    yield batch(own, no, items)
+                    own, no, items, held = [], [], [], 0
+                own.append(i)
+                no.append(j)
+                items.append(terms(s))
+                held += len(s)
+        yield batch(own, no, items)
 
 
 def _known_items(column: pa.Array, known: pa.Array) -> list[list[str]]:
@@ -253,17 +282,7 @@ def lines_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = documents.sparkSession
     texts = docs.repartition(max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 100):
-            own, no, items = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for j, s in enumerate(sentences(t)):
-                    own.append(i)
-                    no.append(j)
-                    items.append(terms(s))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(no, pa.int32()), pa.array(items, pa.list_(pa.string()))], ["id", "no", "items"])
-
-    return materialize(texts.select("id", "text").mapInArrow(run, "id long, no int, items array<string>"), "rule-sentences")
+    return materialize(texts.select("id", "text").mapInArrow(_lines, "id long, no int, items array<string>"), "rule-sentences")
 
 
 def fit_rules(

@@ -548,3 +548,32 @@ def test_all_unlabelled_documents_are_mined(spark, monkeypatch):
     monkeypatch.setattr(subjects, "BROADCAST_TERMS", 0)
     joined = subjects.fit_rules(d, lab)
     assert sorted(joined.rules) == sorted(model.rules) and joined.threshold == model.threshold
+
+
+def test_sentences_and_items_are_taken_by_bytes(spark, monkeypatch):
+    class Rows:  # gives what would run on the executors
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        filter = repartition = select
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(subjects, "materialize", lambda df, label: df)
+    sizes = [10] * 30 + [100_000] * 60 + [3_000_000] + [0] + [10] * 30
+    texts = [" ".join(f"The {k % 977}th valve{k % 89} of pump{i} is open." for k in range(n // 30)) for i, n in enumerate(sizes)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = list(subjects.lines_of(Rows())(iter([batch])))
+    assert sum(b.num_rows > 0 for b in got) > 5 and max(b.nbytes for b in got) <= 4_000_000
+    assert pa.Table.from_batches(got).to_pylist() == [{"id": i, "no": j, "items": subjects.terms(s)} for i, t in enumerate(texts) for j, s in enumerate(subjects.sentences(t))]
+
+    items = [[f"w{i}", "some", "x" * n] for i, n in enumerate([5_000_000, 10, 10, *[50_000] * 400, 10])] + [[]] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(items))), pa.array(items)], ["id", "items"])
+    parts = list(subjects._slices(iter([batch]), 20_000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(items)))
+    assert {p.num_rows for p in parts if p.nbytes > 4_000_000} == {1} and len(parts) < 20
+    known = pa.array(["some", "w3", "w401"])
+    assert [x for p in parts for x in subjects._known_items(p.column(1), known)] == [[y for y in x if y in ("some", "w3", "w401")] for x in items]
