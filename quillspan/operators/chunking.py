@@ -123,11 +123,17 @@ def chunk_elements(elements: DataFrame, files: DataFrame, most: int = MOST_TOKEN
     return j.groupBy("id").applyInPandas(run, SCHEMA)
 
 
+#: A line that declares something, without the blanks around it: no comment, attribute or decorator.
+_SIGNATURE = r"(?sU)^\s*+(?!//|#|/\*|\*|@)(.*\S)"
+
+
 def summaries(chunks: DataFrame, least: int = 3, most: int = MOST_TOKENS) -> DataFrame:
-    """(file_id, leaves, content) of files with ``least`` chunks: first lines, public ones first, under the limit."""
-    line = F.element_at(F.filter(F.split("content", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(?://|#|/\*|\*)")), 1)
-    item = F.struct((F.col("visibility") != "public").alias("p"), "line_start", "id", F.coalesce(line, F.lit("")).alias("t"))
-    g = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("s"), F.count(F.lit(1)).alias("leaves")).filter(F.col("leaves") >= least)
+    """(file_id, leaves, content) of files with ``least`` chunks: first lines, public ones first, under the limit.
+    A chunk that has no such line (all comment, blank or empty) is a leaf and adds nothing to the content."""
+    line = F.try_element_at(F.filter(F.split("content", "\n"), lambda x: x.rlike(_SIGNATURE)), F.lit(1))
+    rows = chunks.select("file_id", (F.col("visibility") != "public").alias("p"), "line_start", "id", F.regexp_extract(line, _SIGNATURE, 1).alias("t"))
+    item = F.when(F.col("t").isNotNull(), F.struct("p", "line_start", "id", "t"))
+    g = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("s"), F.count(F.lit(1)).alias("leaves")).filter(F.col("leaves") >= least)
     kept = F.aggregate("s", F.lit(""), lambda t, x: F.when(F.length(t) + F.length(x["t"]) + 1 <= most * 4, F.concat(t, x["t"], F.lit("\n"))).otherwise(t))
     return g.select("file_id", "leaves", kept.alias("content"))
 

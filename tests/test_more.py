@@ -77,6 +77,13 @@ def test_element_chunks_and_summaries(spark):
     assert K.summaries(c).first()["content"].split("\n")[0] == "fn f3() {}"
 
 
+def test_summaries_of_chunks_without_a_signature(spark):
+    texts = ["// only\n# comments\n\n", "", "\r\n\t\r\n  @Override\r\n\tvoid run() {\r\n}\r\n", " \n\u00a0\n/** doc */\nfn a() {}  "]
+    rows = [(i, 1, "private", i, t) for i, t in enumerate(texts)] + [(i, 2, "public", i, "// nothing") for i in range(10, 13)] + [(20, 3, "public", 1, "fn few() {}")]
+    c = spark.createDataFrame(rows, "id long, file_id long, visibility string, line_start int, content string")
+    assert {tuple(r) for r in K.summaries(c).collect()} == {(1, 4, "void run() {\nfn a() {}\n"), (2, 3, "")}
+
+
 def test_causal_order(spark):
     e = spark.createDataFrame([("q", 1, 10, 5, 0.9), ("q", 2, 11, 1, 0.8), ("q", 3, 12, 1, 0.85), ("q", 4, 10, 1, 0.1)], "query string, id long, file_id long, line_start int, score double")
     both = spark.createDataFrame([(10, 11), (11, 10)], "source_id long, target_id long")
